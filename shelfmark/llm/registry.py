@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from .simhash import op3_simhash
 from .token_records import op6_token_records
 
 
 def queries() -> dict:
-    return {"op6_token_records": op6_token_records}
+    return {"op3_simhash": op3_simhash, "op6_token_records": op6_token_records}
 
 
 def oracle_sql() -> dict[str, str]:
