@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from .decontaminate import op5_decontamination
 from .simhash import op3_simhash
 from .token_records import op6_token_records
 
 
 def queries() -> dict:
-    return {"op3_simhash": op3_simhash, "op6_token_records": op6_token_records}
+    return {
+        "op3_simhash": op3_simhash,
+        "op5_decontamination": op5_decontamination,
+        "op6_token_records": op6_token_records,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
