@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op5_decontamination
+from .quality import op7_quality
 from .simhash import op3_simhash
 from .token_records import op6_token_records
 
@@ -12,6 +13,7 @@ def queries() -> dict:
         "op3_simhash": op3_simhash,
         "op5_decontamination": op5_decontamination,
         "op6_token_records": op6_token_records,
+        "op7_quality": op7_quality,
     }
 
 
