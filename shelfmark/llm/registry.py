@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .decontaminate import op5_decontamination
+from .lines import ORACLE_SQL as LINES_SQL
+from .lines import op4_line_dedup
 from .quality import op7_quality
 from .simhash import op3_simhash
 from .token_records import op6_token_records
@@ -11,6 +13,7 @@ from .token_records import op6_token_records
 def queries() -> dict:
     return {
         "op3_simhash": op3_simhash,
+        "op4_line_dedup": op4_line_dedup,
         "op5_decontamination": op5_decontamination,
         "op6_token_records": op6_token_records,
         "op7_quality": op7_quality,
@@ -18,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": LINES_SQL}
