@@ -8,10 +8,12 @@ from .lines import op4_line_dedup
 from .quality import op7_quality
 from .simhash import op3_simhash
 from .token_records import op6_token_records
+from .token_trees import op2_token_counts
 
 
 def queries() -> dict:
     return {
+        "op2_token_counts": op2_token_counts,
         "op3_simhash": op3_simhash,
         "op4_line_dedup": op4_line_dedup,
         "op5_decontamination": op5_decontamination,
