@@ -76,9 +76,9 @@ def write_records(docs: DataFrame, folder: str, path: str, end_id: int = END_ID,
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        from .units import UnitEncoder
+        from .units import encoder
 
-        encoder, end = UnitEncoder(path, width), int(end_id).to_bytes(width, "little")
+        encode, end = encoder(path, width).encode, int(end_id).to_bytes(width, "little")
         files, root = _filesystem(folder)
         task = TaskContext.get()
         name = f"tokens-{task.partitionId():06d}-{uuid.uuid4().hex}"
@@ -98,7 +98,7 @@ def write_records(docs: DataFrame, folder: str, path: str, end_id: int = END_ID,
                 out, index = files.open_output_stream(f"{root}/{name}.rec"), files.open_output_stream(f"{root}/{name}.idx")
             ids, texts = batch.column(0), batch.column(1)
             for i in range(batch.num_rows):
-                payload = encoder.encode(texts[i].as_py()) + end
+                payload = encode(texts[i].as_py()) + end
                 key, n = ids[i].as_py(), len(payload) // width
                 entries.append((key or 0, key is not None, offset, n, n_tokens))
                 payloads.append(payload)

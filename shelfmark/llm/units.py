@@ -2,8 +2,9 @@
 
 The pre-tokenizer of the GPT-2 family never joins characters across the start of a space that
 follows a non-space character, so a text is the concatenation of units that encode on their own:
-an optional space with a run of non-space, or white space as the pre-tokenizer groups it.
-Most units recur, so their ids are kept by unit and only new units reach the tokenizer library.
+an optional space with a run of non-space, or white space as the pre-tokenizer groups it; letters
+part from signs after them. Most units recur, so their ids are kept by unit and only new units
+reach the tokenizer library, many words in one text.
 """
 
 from __future__ import annotations
@@ -11,15 +12,20 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 
 # White space as Unicode defines it (fixed values of the White_Space property).
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-UNIT = re.compile(f" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"  # letters only
+_SIGNS = re.escape('!"#$%&()*+,-./:;<=>?@[]^_`{|}~') + "\\\\"  # ASCII signs but the apostrophe, which can join
+_WORD = f" ?[{_LATIN}]++(?=[{_SIGNS}{WS}]|\\Z)"  # letters never join with a sign after them
+UNIT = re.compile(f"{_WORD}| ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
+_IS_WORD = re.compile(f" ?[{_LATIN}]+").fullmatch
 _CUT = re.compile(f"(?<=[^{WS}]) (?=[^{WS}])")
 BLOCK_CHARS = 1 << 20
-CACHE_UNITS = 300_000
+CACHE_UNITS = 1_000_000
 
 
 def blocks(text: str, size: int = BLOCK_CHARS) -> Iterator[str]:
@@ -44,17 +50,43 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if width == 2 else "<u4")
-        self.cache_units, self.known = cache_units, {}
+        self.cache_units, self.known, self.old = cache_units, {}, {}
 
     def learn(self, units: list[str]) -> None:
-        new = list(dict.fromkeys(u for u in units if u not in self.known))
-        if len(self.known) + len(new) > self.cache_units:
-            self.known = {}
-            new = list(dict.fromkeys(units))
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for u, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[u] = np.asarray(e.ids, self.dtype).tobytes()
+        """Put the ids of all these units into ``known``; the units unused for longest go first."""
+        known, old = self.known, self.old
+        new = [u for u in set(units) if u not in known]
+        if len(known) + len(new) > self.cache_units // 2:
+            self.old, self.known = known, {}
+            known, old = self.known, self.old
+            new = list(set(units))
+        rest = []
+        for u in new:
+            if (ids := old.get(u)) is None:
+                rest.append(u)
+            else:
+                known[u] = ids
+        spaced, bare, others = [], [], []
+        for u in rest:
+            (others if not _IS_WORD(u) else spaced if u[0] == " " else bare).append(u)
+        self._learn_words(spaced, "", 1)
+        self._learn_words(bare, "\n", 2)
+        for i in range(0, len(others), 4096):
+            some = others[i : i + 4096]
+            for u, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[u] = np.asarray(e.ids, self.dtype).tobytes()
+
+    def _learn_words(self, words: list[str], between: str, step: int) -> None:
+        """Many words in one text: each is one pre-token, at every ``step``-th place."""
+        width = self.dtype.itemsize
+        for i in range(0, len(words), 256):
+            some = words[i : i + 256]
+            e = self.tokenizer.encode(between.join(some), add_special_tokens=False)
+            at = np.searchsorted(np.array(e.word_ids), np.arange(len(some) * step - (step - 1)))
+            at = [*(at * width).tolist(), len(e.ids) * width]
+            raw = np.asarray(e.ids, self.dtype).tobytes()
+            for k, u in enumerate(some):
+                self.known[u] = raw[at[k * step] : at[k * step + 1]]
 
     def encode(self, text: str) -> bytes:
         """All ids of a text, as bytes of ``dtype``."""
@@ -70,3 +102,9 @@ class UnitEncoder:
         self.learn(units)
         known, w = self.known, self.dtype.itemsize
         return np.fromiter((len(known[u]) // w for u in units), np.int64, len(units))
+
+
+@lru_cache(2)
+def encoder(path: str, width: int = 2) -> UnitEncoder:
+    """A worker's encoder, kept from task to task."""
+    return UnitEncoder(path, width)
