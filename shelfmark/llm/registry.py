@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .decontaminate import op5_decontamination
+from .embeddings import ORACLE_SQL as EMBEDDINGS_SQL
+from .embeddings import op10_embedding_dedup
 from .lines import ORACLE_SQL as LINES_SQL
 from .lines import op4_line_dedup
 from .quality import op7_quality
@@ -19,8 +21,9 @@ def queries() -> dict:
         "op5_decontamination": op5_decontamination,
         "op6_token_records": op6_token_records,
         "op7_quality": op7_quality,
+        "op10_embedding_dedup": op10_embedding_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": LINES_SQL}
+    return {"op4_line_dedup": LINES_SQL, "op10_embedding_dedup": EMBEDDINGS_SQL}
