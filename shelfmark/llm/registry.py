@@ -8,6 +8,7 @@ from .embeddings import op10_embedding_dedup
 from .lines import ORACLE_SQL as LINES_SQL
 from .lines import op4_line_dedup
 from .quality import op7_quality
+from .sentencepieces import op8_sentencepiece
 from .simhash import op3_simhash
 from .token_records import op6_token_records
 from .token_trees import op2_token_counts
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op5_decontamination": op5_decontamination,
         "op6_token_records": op6_token_records,
         "op7_quality": op7_quality,
+        "op8_sentencepiece": op8_sentencepiece,
         "op10_embedding_dedup": op10_embedding_dedup,
     }
 
