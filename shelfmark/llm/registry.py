@@ -12,10 +12,12 @@ from .sentencepieces import op8_sentencepiece
 from .simhash import op3_simhash
 from .token_records import op6_token_records
 from .token_trees import op2_token_counts
+from .warc import op1_warc_derivatives
 
 
 def queries() -> dict:
     return {
+        "op1_warc_derivatives": op1_warc_derivatives,
         "op2_token_counts": op2_token_counts,
         "op3_simhash": op3_simhash,
         "op4_line_dedup": op4_line_dedup,
