@@ -7,6 +7,7 @@ from .embeddings import ORACLE_SQL as EMBEDDINGS_SQL
 from .embeddings import op10_embedding_dedup
 from .lines import ORACLE_SQL as LINES_SQL
 from .lines import op4_line_dedup
+from .passages import op9_repeated_passages
 from .quality import op7_quality
 from .sentencepieces import op8_sentencepiece
 from .simhash import op3_simhash
@@ -25,6 +26,7 @@ def queries() -> dict:
         "op6_token_records": op6_token_records,
         "op7_quality": op7_quality,
         "op8_sentencepiece": op8_sentencepiece,
+        "op9_repeated_passages": op9_repeated_passages,
         "op10_embedding_dedup": op10_embedding_dedup,
     }
 
