@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .decontaminate import op5_decontamination
 from .embeddings import ORACLE_SQL as EMBEDDINGS_SQL
 from .embeddings import op10_embedding_dedup
@@ -18,6 +20,7 @@ from .warc import op1_warc_derivatives
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_warc_derivatives": op1_warc_derivatives,
         "op2_token_counts": op2_token_counts,
         "op3_simhash": op3_simhash,
@@ -32,4 +35,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": LINES_SQL, "op10_embedding_dedup": EMBEDDINGS_SQL}
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {**pipeline, "op4_line_dedup": LINES_SQL, "op10_embedding_dedup": EMBEDDINGS_SQL}
