@@ -1,0 +1 @@
+"""Readers and writers of the file formats that a catalogue lives on."""
