@@ -19,11 +19,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark import on_workers
 from shelfmark.llm import decontaminate, lines, quality, sentencepieces, simhash
 from shelfmark.llm.common import new_folder, table, tokenizer_file
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    on_workers(spark)
     machine = quality.train(docs, table(spark, sf_dir, "labels"))
     rejected = quality.scores(docs, machine).where("predicted = 0").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
@@ -34,17 +36,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    on_workers(spark)
     kept = simhash.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    on_workers(spark)
     leaked = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_chunks, round_trip): the ids, checked by decoding them."""
+    on_workers(spark)
     path = tokenizer_file("piece_bpe_32k.model")
     both = sentencepieces.decode(sentencepieces.encode(docs, path), path)
     return both.select("doc_id", "ids", "n_chunks", (F.crc32(F.col("text").cast("binary")) == F.col("text_crc32")).alias("round_trip"))
