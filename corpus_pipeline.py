@@ -51,7 +51,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """(doc_id, ids, n_chunks, round_trip): the ids, checked by decoding them."""
     on_workers(spark)
     path = tokenizer_file("piece_bpe_32k.model")
-    both = sentencepieces.decode(sentencepieces.encode(docs, path), path)
+    both = sentencepieces.encode_and_decode(docs, path)
     return both.select("doc_id", "ids", "n_chunks", (F.crc32(F.col("text").cast("binary")) == F.col("text_crc32")).alias("round_trip"))
 
 

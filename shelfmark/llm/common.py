@@ -52,3 +52,10 @@ def with_id_and_text(docs: DataFrame) -> DataFrame:
     from pyspark.sql import functions as F
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def slices(batches, rows: int = 1000):
+    """Arrow batches in slices of a bounded number of rows, so that Python objects of few rows live at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, with_id_and_text
+from .common import slices, table, with_id_and_text
 
 MIN_MATCH, COVERAGE = 5, 0.8
 BLOCK_WORDS = 500_000
@@ -160,7 +160,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = MIN_MATCH, coverag
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = Block(shared.value, width, coverage)
-            for batch in batches:
+            for batch in slices(batches):
                 rows = [(key, *leak) for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for leak in block.leaks(text)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 

@@ -20,7 +20,7 @@ import numpy as np
 
 BLANK = "▁"
 UNIT = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
-CACHE_UNITS = 600_000
+CACHE_UNITS = 240_000
 NONE = -np.inf
 
 

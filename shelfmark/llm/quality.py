@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, with_id_and_text
+from .common import slices, table, with_id_and_text
 
 WORD_INPUTS, STEPS, RANK = 1 << 13, 16, 6
 TRAIN_ROWS, EPOCHS, LEVEL = 4000, 12, 0.7
@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
-        for batch in batches:
+        for batch in slices(batches):
             made = [features(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([i.astype("<u2").tobytes() for i, _ in made], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in made], pa.binary())],
@@ -167,7 +167,7 @@ def scores(docs: DataFrame, machine: Machine) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, features = shared.value, Features()
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([machine.score(*features(t)) for t in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
 
     scored = with_id_and_text(docs).mapInArrow(run, "doc_id long, score double")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, table, tokenizer_file, with_id_and_text, written
+from .common import shuffle_partitions, slices, table, tokenizer_file, with_id_and_text, written
 
 CHUNK, GROUP = 1 << 15, 64
 ENCODED = "doc_id long, ids array<int>, n_chunks int, text_crc32 long"
@@ -36,19 +36,29 @@ def _int_lists(raws: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raws), "<i4")))
 
 
-def _encode_short(docs: DataFrame, path: str) -> DataFrame:
+def _text_of(raw: bytes) -> str:
+    """Text of decoded bytes, without the blank put in front."""
+    return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+
+
+def _encode_short(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
+    """Ids of texts that no chunk border cuts; with ``decoded`` also their text again, in the same pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .pieces import normal, pieces
 
         model = pieces(path)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                texts = part.column(1).to_pylist()
-                n = len(texts)
-                yield pa.RecordBatch.from_arrays([part.column(0), _int_lists([model.encode_units(normal(t)) for t in texts]), pa.array([1] * n, pa.int32()), pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64())], ["doc_id", "ids", "n_chunks", "text_crc32"])
+        for part in slices(batches):
+            texts = part.column(1).to_pylist()
+            ids = [model.encode_units(normal(t)) for t in texts]
+            cols = [part.column(0), _int_lists(ids), pa.array([1] * len(texts), pa.int32()), pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64())]
+            names = ["doc_id", "ids", "n_chunks", "text_crc32"]
+            if decoded:
+                cols.append(pa.array([_text_of(model.decode_raw(np.frombuffer(i, "<i4"))) for i in ids], pa.string()))
+                names.append("text")
+            yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.mapInArrow(run, ENCODED)
+    return docs.mapInArrow(run, ENCODED + ", text string" * decoded)
 
 
 def _chunks(giants: DataFrame, path: str, chunk: int) -> DataFrame:
@@ -149,11 +159,21 @@ def _encode_giants(giants: DataFrame, path: str, chunk: int) -> DataFrame:
     return giants.select("row", "doc_id", F.crc32(F.col("text").cast("binary")).alias("text_crc32")).join(whole, "row").select("doc_id", "ids", "n_chunks", "text_crc32")
 
 
+def _by_length(docs: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
+    rows = with_id_and_text(docs)  # the normal form has one character more than the text
+    return rows.where(F.length("text") < chunk), rows.where(F.length("text") >= chunk)
+
+
 def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, ids, n_chunks, text_crc32) of every document."""
-    rows = with_id_and_text(docs)
-    # the normal form has one character more than the text
-    return _encode_short(rows.where(F.length("text") < chunk), path).union(_encode_giants(rows.where(F.length("text") >= chunk), path, chunk))
+    short, giants = _by_length(docs, chunk)
+    return _encode_short(short, path).union(_encode_giants(giants, path, chunk))
+
+
+def encode_and_decode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
+    """As ``decode(encode(docs))``; short documents are decoded where they were encoded."""
+    short, giants = _by_length(docs, chunk)
+    return _encode_short(short, path, True).union(decode(_encode_giants(giants, path, chunk), path))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -162,11 +182,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .pieces import pieces
 
-        for batch in batches:
-            ids, texts = batch.column(1), []
-            for k in range(batch.num_rows):
-                raw = pieces(path).decode_raw(ids[k].values.to_numpy())
-                texts.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
+        for batch in slices(batches, 200):
+            texts = [_text_of(pieces(path).decode_raw(x.values.to_numpy())) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
 
     return encoded.select("doc_id", "ids", "n_chunks", "text_crc32").mapInArrow(run, f"{ENCODED}, text string")
@@ -174,6 +191,6 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("piece_bpe_32k.model")
-    both = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    both = encode_and_decode(table(spark, sf_dir, "documents"), path)
     ids_crc32 = F.crc32(F.array_join("ids", ",").cast("binary"))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), ids_crc32.alias("ids_crc32"), "n_chunks", (F.crc32(F.col("text").cast("binary")) == F.col("text_crc32")).alias("round_trip"))

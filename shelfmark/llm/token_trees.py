@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tokenizer_file, with_id_and_text
+from .common import slices, table, tokenizer_file, with_id_and_text
 
 LEAF_UNITS = 32
 STATE = "doc_id long, text string, lengths array<int>, sums array<long>"
@@ -166,7 +166,7 @@ def build(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .units import encoder
 
-        for batch in batches:
+        for batch in slices(batches):
             made = [leaves(t, encoder(path)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists([x for x, _ in made], pa.int32()), _lists([tree(c) for _, c in made], pa.int64())], ["doc_id", "text", "lengths", "sums"])
 
@@ -189,7 +189,7 @@ def with_redactions(state: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("text", pa.string())]))
-        for batch in batches:
+        for batch in slices(batches):
             edits = [[{"start": a, "stop": b, "text": x} for a, b, x in redactions(t)] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(edits, kind)], [*batch.schema.names, "edits"])
 
@@ -208,7 +208,7 @@ def apply(state: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .units import encoder
 
-        for batch in batches:
+        for batch in slices(batches):
             texts, lengths, sums, rest = [], [], [], []
             old_lengths, old_sums = batch.column("lengths"), batch.column("sums")
             for k, (text, edits) in enumerate(zip(batch.column("text").to_pylist(), batch.column("edits").to_pylist(), strict=True)):

@@ -53,11 +53,12 @@ def test_cases(spark, monkeypatch):
     docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, ids string")
     got = sorted(((r.doc_id, list(r.ids), r.text) for r in S.decode(S.encode(docs, PATH, 100), PATH).collect()), key=str)
     assert got == sorted(((i, LIB.encode(t or ""), t or "") for i, t in rows), key=str)
-    assert S.encode(docs.limit(0), PATH).count() == 0
+    fused = sorted(((r.doc_id, list(r.ids), r.text) for r in S.encode_and_decode(docs, PATH, 100).collect()), key=str)
+    assert fused == got and S.encode(docs.limit(0), PATH).count() == 0
 
 
 def test_documents(spark, sf, monkeypatch):
-    monkeypatch.setattr(S.encode, "__defaults__", (2000,))
+    monkeypatch.setattr(S.encode_and_decode, "__defaults__", (2000,))
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = S.op8_sentencepiece(spark, sf).collect()
     assert len(rows) == len(docs) and any(r.n_chunks > 1 for r in rows)
