@@ -3,8 +3,8 @@
 Equal vectors of a label are one class first, so a very common vector is one row. Classes of a
 label are dealt to shards of at most ``SHARD_ROWS``; every shard has a graph and is asked for every
 class of its label, in blocks of ``QUERY_ROWS``, so a task holds a bounded number of vectors. Each
-task audits a bounded sample of its queries against brute force over its shard and doubles the
-beam until recall passes. A pair that a graph proposes is a link only if its cosine in
+task audits a sample of its queries that have neighbours in the shard against brute force and doubles
+the beam until the mean recall of a query passes. A pair that a graph proposes is a link only if its cosine in
 double precision reaches the threshold. Tasks return a link count for each class and a spanning
 forest of their links; components are united over all shards.
 
@@ -47,7 +47,7 @@ def _task(cosine: float):
         if not len(x) or not len(y):
             return
         small = x.astype(np.float32)
-        a, b, _ = audited(Graph(small), small, y.astype(np.float32), cosine - _SLACK, EF, AUDIT_ROWS, AUDIT_RECALL)
+        a, b, _ = audited(Graph(small), small, y.astype(np.float32), cosine - _SLACK, EF, AUDIT_ROWS, AUDIT_RECALL, np.isin(y_rep, x_rep))
         keep = np.zeros(len(a), bool)
         for k in range(0, len(a), 1 << 15):
             i, j = a[k : k + (1 << 15)], b[k : k + (1 << 15)]

@@ -172,11 +172,57 @@ class Graph:
         return (np.concatenate(rows), np.concatenate(nodes)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def audited(graph: Graph, vectors: np.ndarray, q: np.ndarray, floor: float, ef: int, sample: int, recall: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Pairs at or above ``floor``; the beam doubles until a sample's recall against brute force passes."""
-    some = np.unique(np.linspace(0, len(q) - 1, min(sample, len(q))).astype(int)) if len(q) else np.zeros(0, int)
-    exact = sum(int((vectors[k : k + 4096] @ q[some].T >= floor).sum()) for k in range(0, len(vectors), 4096))
-    while True:
-        if ef >= len(vectors) or not len(some) or len(graph.within(q[some], floor, ef)[0]) >= recall * exact:
-            return *graph.within(q, floor, ef), ef
+def _exact(vectors: np.ndarray, q: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row of ``vectors``) pairs clearly at or above ``floor``, by brute force."""
+    found = [(k + b, a) for k in range(0, len(vectors), 4096) for b, a in [np.nonzero(vectors[k : k + 4096] @ q.T >= floor + 2e-6)]]
+    return (np.concatenate([a for _, a in found]), np.concatenate([b for b, _ in found])) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _audit(vectors: np.ndarray, q: np.ndarray, floor: float, sample: int, members: np.ndarray, scan: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(queries, place in them, row of ``vectors``): queries that have neighbours, with all of these.
+
+    Half of ``sample`` are members, who have themselves; the rest are other queries with a neighbour, looked
+    for in ``scan`` queries, or in all of them if nothing has been found by then.
+    """
+    draw = np.random.default_rng(5).permutation
+    own = draw(np.flatnonzero(members))[: (sample + 1) // 2]
+    others = draw(np.flatnonzero(~members))
+    some, rows, nodes, n = [], [], [], 0
+
+    def take(part: np.ndarray) -> int:
+        a, b = _exact(vectors, q[part], floor)
+        having, place = np.unique(a, return_inverse=True)
+        keep = place < sample - n
+        some.append(part[having[: sample - n]])
+        rows.append(place[keep] + n)
+        nodes.append(b[keep])
+        return len(some[-1])
+
+    if len(own):
+        n += take(own)
+    for k in range(0, len(others), 512):
+        if n >= sample or (n and k >= scan):
+            break
+        n += take(others[k : k + 512])
+    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return join(some), join(rows), join(nodes)
+
+
+def audited(graph: Graph, vectors: np.ndarray, q: np.ndarray, floor: float, ef: int, sample: int, recall: float, members: np.ndarray | None = None, scan: int = 4096) -> tuple[np.ndarray, np.ndarray, int]:
+    """Pairs at or above ``floor``; the beam doubles until recall against brute force passes.
+
+    Recall is the mean over up to ``sample`` queries that have neighbours, so a query with very many
+    doesn't outweigh others. ``members`` marks queries that are among ``vectors``. If there is no such
+    query, brute force has seen all queries and there are no pairs.
+    """
+    some, rows, nodes = _audit(vectors, q, floor, sample, np.zeros(len(q), bool) if members is None else members, scan)
+    if not len(some):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), ef
+    exact = np.bincount(rows, minlength=len(some))
+    while ef < len(vectors):
+        a, b = graph.within(q[some], floor, ef)
+        met = np.isin(rows * len(vectors) + nodes, a * len(vectors) + b)
+        if (np.bincount(rows[met], minlength=len(some)) / exact).mean() >= recall:
+            break
         ef *= 2
+    return *graph.within(q, floor, ef), ef

@@ -84,3 +84,33 @@ def test_embeddings(spark):
     con.execute(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
     want = sorted(con.execute("select vec_id, n_links, component_id, kept from (" + E.ORACLE_SQL + ")").fetchall(), key=str)
     assert result(E.op10_embedding_dedup(spark, sf)) == want
+
+
+class Weak:
+    """Finds the pairs of the first vectors only, until its beam is wide."""
+
+    def __init__(self, x, hot):
+        self.x, self.hot = x, hot
+
+    def within(self, q, floor, ef):
+        a, b = np.nonzero(q @ self.x.T >= floor)
+        keep = (b < self.hot) | (ef >= 64)
+        return a[keep], b[keep]
+
+
+def test_audit_asks_queries_with_neighbours_and_weighs_each_alike():
+    rng = np.random.default_rng(6)
+    unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    x, far = unit(rng.normal(size=(200, 32))), unit(rng.normal(size=(6000, 32)))
+    for members in (True, False):  # few queries have a neighbour in the shard
+        q = far.copy()
+        at = rng.choice(6000, 40, replace=False)
+        q[at] = x[:40] if members else unit(x[:40] + rng.normal(size=(40, 32)) * 0.01)
+        of = np.isin(np.arange(6000), at) if members else None
+        a, _, ef = audited(Weak(x, 0), x, q, 0.93, 32, 64, 0.995, of)
+        assert ef == 64 and set(at) <= set(a.tolist())
+    hot = unit(x[:1] + rng.normal(size=(20000, 32)) * 0.005)  # one query with 20,000 pairs and 63 with one
+    y = np.concatenate([hot, x[1:64]])
+    a, _, ef = audited(Weak(y, 20000), y, np.concatenate([hot[:1], x[1:64]]), 0.93, 32, 64, 0.995)
+    assert ef == 64 and len(set(a.tolist())) == 64
+    assert len(audited(Weak(x, 0), x, -x[:1] * 0, 0.93, 32, 64, 0.995)[0]) == 0
