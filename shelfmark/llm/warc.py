@@ -11,7 +11,10 @@ pass without a shuffle, so no source or copy can make a group large.
 Record ids are derived from the response's id and the kind of record: a repeated task yields
 the same records, equal responses equal derivatives.
 
-Cases: a null url or html counts as empty; a response without an HTML content type yields metadata
+Headers are kept as ordered lists; the objects beside them are for look-up and hold the last of repeated names.
+Text and links come from the body without chunks, gzip and deflate; digests are those of the stored bytes.
+
+Cases: a body with another content coding yields metadata only; a null url or html counts as empty; a response without an HTML content type yields metadata
 and, if it is some other text, its body as the conversion; a response without a record id refers to
 an id made from its block; records of other types are ignored; repeated rows each yield their
 records; an empty table gives an empty result; other columns are ignored.
@@ -24,6 +27,7 @@ import gzip
 import hashlib
 import json
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -72,6 +76,62 @@ def _charset(content_type: str) -> str:
         return "utf-8"
 
 
+def _dechunked(body: bytes) -> bytes:
+    """The data of a chunked body, as far as it goes; a body that isn't chunked (any more) as it is."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            n = int(body[at:end].partition(b";")[0], 16)
+        except ValueError:
+            n = -1
+        if n < 0:
+            return body if not out else b"".join(out)
+        if not n:
+            break
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+    return b"".join(out) if out or end >= 0 else body
+
+
+def _inflated(data: bytes, wbits: int) -> bytes:
+    """All of a deflate stream that can be read, with any further gzip members."""
+    out = []
+    while data:
+        z = zlib.decompressobj(wbits)
+        for k in range(0, len(data), 4096):  # in parts, so that a broken stream yields what is before the break
+            try:
+                out.append(z.decompress(data[k : k + 4096]))
+            except zlib.error:
+                return b"".join(out)
+            if z.eof:
+                data = z.unused_data + data[k + 4096 :]
+                break
+        else:
+            return b"".join([*out, z.flush()])
+        if wbits != 31 or data[:2] != b"\x1f\x8b":
+            break
+    return b"".join(out)
+
+
+def content(http: list[tuple[str, str]], body: bytes) -> bytes | None:
+    """The body without its transfer and content codings; None for a coding that isn't known."""
+    codings = lambda name: [c.strip().lower() for n, v in http if n.lower() == name for c in v.split(",")]
+    for coding in reversed(codings("content-encoding") + codings("transfer-encoding")):
+        if coding == "chunked":
+            body = _dechunked(body)
+        elif coding in ("gzip", "x-gzip"):
+            body = _inflated(body, 31) if body[:2] == b"\x1f\x8b" else body  # some crawlers store bodies decoded
+        elif coding == "deflate":
+            body = _inflated(body, 15) or _inflated(body, -15) or body
+        elif coding not in ("", "identity"):
+            return None
+    return body
+
+
+def _listed(headers: list[tuple[str, str]]) -> list[dict]:
+    return [{"name": n, "value": v} for n, v in headers]
+
+
 def derivatives(record: dict) -> list[dict]:
     """The metadata and conversion records of a response."""
     from .html_text import extract
@@ -84,18 +144,22 @@ def derivatives(record: dict) -> list[dict]:
     content_type = next((v for n, v in http if n.lower() == "content-type"), "")
     kind = content_type.split(";")[0].strip().lower()
     text, page = None, {"title": "", "text": "", "metas": [], "links": []}
-    if kind in ("text/html", "application/xhtml+xml", ""):
-        page = extract(body.decode(_charset(content_type), "replace"), target)
+    plain = content(http, body)
+    if plain is None:
+        pass
+    elif kind in ("text/html", "application/xhtml+xml", ""):
+        page = extract(plain.decode(_charset(content_type), "replace"), target)
         text = page["text"]
     elif kind.startswith("text/"):
-        text = body.decode(_charset(content_type), "replace")
+        text = plain.decode(_charset(content_type), "replace")
     payload = named.get("warc-payload-digest") or sha1(body)
     envelope = {
         "WARC-Header-Metadata": dict(source),
+        "WARC-Header-List": _listed(source),
         "Block-Digest": named.get("warc-block-digest") or sha1(block),
         "Payload-Digest": payload,
         "Actual-Payload-Digest": sha1(body),
-        "HTTP-Response-Metadata": {"Response-Message": status, "Headers": dict(http), "Entity-Length": len(body)},
+        "HTTP-Response-Metadata": {"Response-Message": status, "Headers": dict(http), "Header-List": _listed(http), "Entity-Length": len(body)},
         "HTML-Metadata": {"Title": page["title"], "Metas": [{"name": n, "content": c} for n, c in page["metas"]], "Links": [{"path": p, "url": u, "text": t} for p, u, t in page["links"]]},
     }
     refers = [("WARC-Refers-To", response_id)]

@@ -1,8 +1,10 @@
 import base64
+import gzip
 import hashlib
 import html
 import json
 import re
+import zlib
 from html.parser import HTMLParser
 
 from shelfmark.llm import warc as W
@@ -92,3 +94,25 @@ def test_page_cases_and_files(spark):
     assert key(W.read(manifest)) == key(both)
     again = W.derive(W.read(manifest))
     assert key(again) == key(W.derive(W.responses_of_pages(pages)))
+
+
+def test_repeated_headers_and_coded_bodies(spark):
+    page = b'<p>one caf\xc3\xa9</p><a href="/x">go</a>' + b"<p>more</p>" * 2000
+    chunked = lambda b: b"".join(b"%x;e=1\r\n%s\r\n" % (len(b[k : k + 700]), b[k : k + 700]) for k in range(0, len(b), 700)) + b"0\r\n\r\n"
+    raw = zlib.compressobj(wbits=-15)
+    raw = raw.compress(page) + raw.flush()
+    bodies = [("Transfer-Encoding: chunked", chunked(page)), ("Content-Encoding: gzip", gzip.compress(page[:50]) + gzip.compress(page[50:])), ("Content-Encoding: deflate", zlib.compress(page)), ("Content-Encoding: deflate", raw), ("Content-Encoding: gzip\r\nTransfer-Encoding: chunked", chunked(gzip.compress(page))), ("Content-Encoding: gzip", page), ("Transfer-Encoding: chunked", page)]
+    bodies.append(("Content-Encoding: br", b"\x8b\x00"))
+    own = [("WARC-Concurrent-To", "<urn:a>"), ("X", "1"), ("WARC-Concurrent-To", "<urn:b>")]
+    head = "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nSet-Cookie: a=1\r\nVia: v\r\nSet-Cookie: b=2\r\n"
+    rows = [("response", f"<urn:{k}>", None, "http://a/", None, own, f"{head}{h}\r\n\r\n".encode() + b) for k, (h, b) in enumerate(bodies)]
+    got = W.derive(spark.createDataFrame(rows, W.RECORD)).collect()
+    texts = {r.refers_to: bytes(r.block).decode() for r in got if r.type == "conversion"}
+    assert texts == {f"<urn:{k}>": extract(page.decode(), "http://a/")["text"] for k in range(7)}
+    for r in got:
+        if r.type == "metadata":
+            facts, (_, body) = json.loads(bytes(r.block)), bodies[int(r.refers_to[5:-1])]
+            assert [(h["name"], h["value"]) for h in facts["WARC-Header-List"]] == own
+            assert [h["value"] for h in facts["HTTP-Response-Metadata"]["Header-List"] if h["name"] == "Set-Cookie"] == ["a=1", "b=2"]
+            assert facts["Actual-Payload-Digest"] == digest(body)
+            assert len(facts["HTML-Metadata"]["Links"]) == (b"\x8b\x00" != body)
