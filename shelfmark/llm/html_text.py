@@ -6,19 +6,20 @@ import html
 import re
 from urllib.parse import urljoin
 
-# comments, declarations, raw-text elements (their content is no text), then tags with quoted attributes
+# comments, declarations, raw-text elements (their content is no text), then tags with quoted attributes;
+# a tag that never closes is matched as far as it goes, and read as text, so no place is scanned again and again
+_INSIDE = r"((?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|svg)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    rf"|<(script|style|noscript|template|textarea|svg)\b{_INSIDE}>.*?(?:</\1\s*+>|\Z)"
+    r"|<[!?][^>]*+(?:>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/<>]*+){_INSIDE}(>?)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+))""")
+_ATTRIBUTE = re.compile(r"""(?<![^\s"'<>/=])([^\s"'<>/=]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'=<>`]++))""")
 _LINKED = {"a": "href", "area": "href", "link": "href", "img": "src", "iframe": "src", "script": "src", "form": "action", "source": "src", "embed": "src"}
 _BLOCK = frozenset("address article aside blockquote body br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select table tbody td tfoot th thead title tr ul video".split())
 _SPACES = re.compile(r"[ \t\r\n\f]+")
-_SCRIPT_OPEN = re.compile(r"<(\w+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -63,11 +64,13 @@ def extract(page: str, base: str = "") -> dict:
 
     at = 0
     for m in _TOKEN.finditer(page):
+        raw, inside, closing, name, rest, closed = m.groups()
+        if name and not closed:
+            continue
         put(page[at : m.start()])
         at = m.end()
-        raw, closing, name, rest = m.groups()
         if raw:
-            if raw.lower() == "script" and (o := _SCRIPT_OPEN.match(page, m.start())) and "src" in (attrs := _attributes(o[2])):
+            if raw.lower() == "script" and "src" in (attrs := _attributes(inside)):
                 links.append(("SCRIPT@/src", resolved(attrs["src"]), ""))
             continue
         if not name:

@@ -116,3 +116,17 @@ def test_repeated_headers_and_coded_bodies(spark):
             assert [h["value"] for h in facts["HTTP-Response-Metadata"]["Header-List"] if h["name"] == "Set-Cookie"] == ["a=1", "b=2"]
             assert facts["Actual-Payload-Digest"] == digest(body)
             assert len(facts["HTML-Metadata"]["Links"]) == (b"\x8b\x00" != body)
+
+
+def test_pages_that_never_close():
+    import time
+
+    from shelfmark.llm.html_text import extract
+
+    began = time.time()
+    for part in ("<a ", "<a \"'", "<!", "<script ", "<a b=\"", "<a aaaa"):
+        big = part * (1_000_000 // len(part))
+        for page in (big, big + ">", "<p>text</p>" + big):
+            extract(page)
+    assert time.time() - began < 60
+    assert extract("<p>one < two <b>three</b> <i")["text"] == "one < two three <i"
