@@ -12,8 +12,9 @@ fit, the tree is laid out anew from the leaves' counts, without encoding anythin
 State is one row a document (doc_id, text, lengths, sums), made and edited in place without a
 shuffle; edits that come as a table of their own are grouped by document first.
 
-Cases: a null text counts as empty; an empty text has one leaf of no tokens; overlapping edits of
-one document raise an error; edits beyond the text are cut to it; repeated documents each get the
+Cases: a null text counts as empty; an empty text has one leaf of no tokens; a document of whose edits
+some overlap, end before they start or have a null place stays as it is, and says so in ``error``
+(null otherwise); edits beyond the text are cut to it; an edit's null text counts as empty; repeated documents each get the
 edits of their id; edits with a null or unknown id do nothing; an empty table gives an empty
 result; other columns are ignored.
 """
@@ -55,11 +56,11 @@ def _leaf_ends(units: list[str]) -> list[int]:
 
 def leaves(text: str, encoder) -> tuple[np.ndarray, np.ndarray]:
     """(lengths, token counts) of the leaves of a text."""
-    from .units import UNIT, blocks
+    from .units import blocks
 
     lengths, counts = [], []
     for part in blocks(text):
-        units = UNIT.findall(part)
+        units = encoder.units(part)
         n, size = encoder.counts(units), np.fromiter(map(len, units), np.int64, len(units))
         ends = _leaf_ends(units)
         begins = [0, *ends[:-1]]
@@ -84,8 +85,6 @@ def tree(counts: np.ndarray) -> np.ndarray:
 def edited(text: str, lengths: np.ndarray, sums: np.ndarray, edits: list[tuple[int, int, str]], encoder) -> tuple[str, np.ndarray, np.ndarray, int, int]:
     """(text, lengths, sums, characters encoded again, nodes of the tree written) after edits given in the old text's places."""
     edits = sorted((min(max(0, a), len(text)), min(max(0, b), len(text)), x or "") for a, b, x in edits)
-    if any(b < a for a, b, _ in edits) or any(x[1] > y[0] for x, y in zip(edits, edits[1:], strict=False)):
-        raise ValueError("edits of one document overlap")
     if not edits:
         return text, lengths, sums, 0, 0
     ends = np.cumsum(lengths)
@@ -144,6 +143,16 @@ def edited(text: str, lengths: np.ndarray, sums: np.ndarray, edits: list[tuple[i
     return text, lengths, sums, encoded, written
 
 
+def fault(edits: list[tuple]) -> str | None:
+    """Why a document's edits can't be made."""
+    if any(a is None or b is None for a, b, _ in edits):
+        return "an edit has a null place"
+    if any(b < a for a, b, _ in edits):
+        return "an edit ends before it starts"
+    places = sorted((a, b) for a, b, _ in edits)
+    return "edits overlap" if any(x[1] > y[0] for x, y in zip(places, places[1:], strict=False)) else None
+
+
 def prefix_tokens(sums: np.ndarray, leaf: int) -> int:
     """Tokens before a leaf, from at most one node a level."""
     k, total = len(sums) // 2 + leaf, 0
@@ -203,7 +212,7 @@ def with_edits(state: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def apply(state: DataFrame, path: str) -> DataFrame:
-    """State after the column ``edits``, with tokens_before, n_edits, encoded_chars and written_nodes."""
+    """State after the column ``edits``, with tokens_before, n_edits, encoded_chars, written_nodes and error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .units import encoder
@@ -214,18 +223,20 @@ def apply(state: DataFrame, path: str) -> DataFrame:
             for k, (text, edits) in enumerate(zip(batch.column("text").to_pylist(), batch.column("edits").to_pylist(), strict=True)):
                 n, s = old_lengths[k].values.to_numpy().astype(np.int64), old_sums[k].values.to_numpy()
                 given = [(e["start"], e["stop"], e["text"]) for e in edits or ()]
+                error = fault(given)
+                given = [] if error else given
                 new, size, after, encoded, written = edited(text, n, s, given, encoder(path))
                 texts.append(new)
                 lengths.append(size)
                 sums.append(after)
-                rest.append((int(s[1]), len(given), encoded, written))
-            cols = list(zip(*rest, strict=True)) or [()] * 4
+                rest.append((int(s[1]), len(given), encoded, written, error))
+            cols = list(zip(*rest, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(texts, pa.string()), _lists(lengths, pa.int32()), _lists(sums, pa.int64()), *(pa.array(c, pa.int64()) for c in cols)],
-                ["doc_id", "text", "lengths", "sums", "tokens_before", "n_edits", "encoded_chars", "written_nodes"],
+                [batch.column("doc_id"), pa.array(texts, pa.string()), _lists(lengths, pa.int32()), _lists(sums, pa.int64()), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string())],
+                ["doc_id", "text", "lengths", "sums", "tokens_before", "n_edits", "encoded_chars", "written_nodes", "error"],
             )
 
-    return state.select("doc_id", "text", "lengths", "sums", "edits").mapInArrow(run, f"{STATE}, tokens_before long, n_edits long, encoded_chars long, written_nodes long")
+    return state.select("doc_id", "text", "lengths", "sums", "edits").mapInArrow(run, f"{STATE}, tokens_before long, n_edits long, encoded_chars long, written_nodes long, error string")
 
 
 def totals(state: DataFrame) -> DataFrame:
