@@ -4,7 +4,9 @@ The pre-tokenizer of the GPT-2 family never joins characters across the start of
 follows a non-space character, so a text is the concatenation of units that encode on their own:
 an optional space with a run of non-space, or white space as the pre-tokenizer groups it; letters
 part from signs after them. Most units recur, so their ids are kept by unit and only new units
-reach the tokenizer library, many words in one text.
+reach the tokenizer library, many words in one text. Added tokens of a vocabulary, such as an end
+mark, are units of their own wherever a text holds their string, as in the library; none may hold
+white space.
 """
 
 from __future__ import annotations
@@ -48,16 +50,22 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        # the library takes these out of a text first, and encodes what lies between by itself
+        self.added = re.compile("|".join(re.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True  # units hold none of them; words side by side must not make one
         self.dtype = np.dtype("<u2" if width == 2 else "<u4")
-        self.cache_units, self.known, self.old = cache_units, {}, {}
+        self.cache_units, self.old = cache_units, {}
+        self.fixed = {t: np.asarray([i], self.dtype).tobytes() for t, i in added.items()}
+        self.known = dict(self.fixed)
 
     def learn(self, units: list[str]) -> None:
         """Put the ids of all these units into ``known``; the units unused for longest go first."""
         known, old = self.known, self.old
         new = [u for u in set(units) if u not in known]
         if len(known) + len(new) > self.cache_units // 2:
-            self.old, self.known = known, {}
+            self.old, self.known = known, dict(self.fixed)
             known, old = self.known, self.old
             new = list(set(units))
         rest = []
@@ -73,7 +81,7 @@ class UnitEncoder:
         self._learn_words(bare, "\n", 2)
         for i in range(0, len(others), 4096):
             some = others[i : i + 4096]
-            for u, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            for u, e in zip(some, self.plain.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 known[u] = np.asarray(e.ids, self.dtype).tobytes()
 
     def _learn_words(self, words: list[str], between: str, step: int) -> None:
@@ -81,18 +89,28 @@ class UnitEncoder:
         width = self.dtype.itemsize
         for i in range(0, len(words), 256):
             some = words[i : i + 256]
-            e = self.tokenizer.encode(between.join(some), add_special_tokens=False)
+            e = self.plain.encode(between.join(some), add_special_tokens=False)
             at = np.searchsorted(np.array(e.word_ids), np.arange(len(some) * step - (step - 1)))
             at = [*(at * width).tolist(), len(e.ids) * width]
             raw = np.asarray(e.ids, self.dtype).tobytes()
             for k, u in enumerate(some):
                 self.known[u] = raw[at[k * step] : at[k * step + 1]]
 
+    def units(self, part: str) -> list[str]:
+        """The units of a text, added tokens among them."""
+        if not self.added or not (found := list(self.added.finditer(part))):
+            return UNIT.findall(part)
+        out, at = [], 0
+        for m in found:
+            out += [*UNIT.findall(part[at : m.start()]), m[0]]
+            at = m.end()
+        return out + UNIT.findall(part[at:])
+
     def encode(self, text: str) -> bytes:
         """All ids of a text, as bytes of ``dtype``."""
         out = []
         for part in blocks(text):
-            units = UNIT.findall(part)
+            units = self.units(part)
             self.learn(units)
             known = self.known
             out.append(b"".join([known[u] for u in units]))

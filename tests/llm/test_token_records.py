@@ -23,7 +23,6 @@ def slow_crc32c(data):
 
 def brute(rows):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     out, start = [], 0
     for i, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = [*t.encode(x or "", add_special_tokens=False).ids, 2]
@@ -42,13 +41,13 @@ def test_crc32c():
 
 def test_units_match_whole_texts():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     e = UnitEncoder(PATH, cache_units=40)
-    for x in ["", " ", "a  b\n\n c\t d ", "it's we'll I'M x's", " x　 y \x1c z\x85w", "1,234.5 é😀 a\r\nb", "<|endoftext|> x", "  lead", "tail  \n", "ab " * 500]:
+    for x in ["", " ", "a  b\n\n c\t d ", "it's we'll I'M x's", " x　 y \x1c z\x85w", "1,234.5 é😀 a\r\nb", "<|endoftext|> x", "x  <|endoftext|>\n y<|endoftext|><|endoftext|>z", "<|endoftext|", "a <| endoftext|> <|endoftext|>", "  lead", "tail  \n", "ab " * 500]:
         assert np.frombuffer(e.encode(x), "<u2").tolist() == t.encode(x, add_special_tokens=False).ids, x
         assert "".join(UNIT.findall(x)) == x
         assert "".join(blocks(x, 7)) == x
         assert [u for b in blocks(x, 7) for u in UNIT.findall(b)] == UNIT.findall(x)
+        assert "".join(e.units(x)) == x
 
 
 def test_round_trip(spark):
