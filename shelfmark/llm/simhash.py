@@ -9,8 +9,8 @@ chunks and every pair of chunks is traversed on its own (same node pairs, other
 returns a spanning forest of the links it finds, never all of them: their components are the same.
 
 Cases: a null text counts as empty; texts without words have fingerprint zero and link like any
-other; repeated rows share a fingerprint; a null doc_id gets a fingerprint, and the smallest
-non-null doc_id of its component (null if there is none); an empty table gives an empty result;
+other; repeated rows share a fingerprint; a null doc_id gets a fingerprint, links like any other and
+gets the smallest non-null doc_id of its component (null if there is none); an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import shuffle_partitions, slices, table, with_id_and_text, written
 from .components import components
@@ -192,10 +193,37 @@ def links(reps: DataFrame, budget: int = BUDGET) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = WORDS, budget: int = BUDGET) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document."""
     fps = written(fingerprints(docs, words), "fingerprints")
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    found = components(links(reps.where("rep is not null"), budget))
-    reps = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(reps, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(classes(fps, budget).drop("label"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def classes(fps: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """(fp, label, component_id) of every distinct fingerprint of (doc_id, fp): its component and the smallest doc_id in it.
+
+    The graph's nodes are fingerprints, so those that no row with a doc_id has link like any other.
+    """
+    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    united = components(links(reps.select("fp", F.col("fp").alias("rep")), budget))
+    # written, so that the joins have no aggregate in their stage and a very large component can be split
+    reps = written(reps.join(united, reps.fp == united.node, "left").select("fp", "low", "component"), "fingerprint-classes")
+    lows = written(reps.where("component is not null").groupBy("component").agg(F.min("low").alias("least")), "components")
+    return reps.join(lows, "component", "left").select("fp", F.coalesce("component", "fp").alias("label"), F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("least")).alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, words: int = WORDS, budget: int = BUDGET) -> DataFrame:
+    """One row of docs, with all its columns, for each group: the smallest doc_id, of several the first; without an id only if none has one."""
+    numbers, place = {"fp": f"_fp_{len(docs.columns)}", "row": f"_row_{len(docs.columns)}"}, docs.columns.index("text")
+    schema = StructType([*docs.schema.fields, StructField(numbers["fp"], LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            fp = fingerprints_of([(x or "").encode() for x in batch.column(place).to_pylist()], words)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], [*batch.schema.names, numbers["fp"]])
+
+    rows = written(docs.mapInArrow(run, schema).withColumn(numbers["row"], F.monotonically_increasing_id()), "numbered")
+    fps = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(numbers["fp"]).alias("fp"), F.col(numbers["row"]).alias("row"))
+    grouped = fps.join(classes(fps, budget).select("fp", "label"), "fp")
+    first = grouped.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    return rows.join(first.select(F.col("first.row").alias(numbers["row"])), numbers["row"], "left_semi").select(docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,3 +87,22 @@ def test_hot_subtries_are_cut_into_chunks(spark, monkeypatch):
                     label[a] = label[b] = min(label[a], label[b])
                     changed = True
     assert all(got.get(i, i) == label[i] for i in range(len(fps)))
+
+
+def near_texts():
+    """Two texts whose fingerprints differ in 1 to 4 bits."""
+    base = [f"t{k}" for k in range(400)]
+    fp = brute_fp(" ".join(base))
+    for k in range(400):
+        other = [*base[:k], "new", *base[k + 1 :]]
+        if 1 <= (brute_fp(" ".join(other)) ^ fp).bit_count() <= 4:
+            return " ".join(base), " ".join(other)
+
+
+def test_rows_without_an_id_link(spark):
+    a, b = near_texts()
+    for rows in ([(1, a), (None, b)], [(1, a), (5, b)], [(None, a), (None, b)], [(None, a), (4, b), (9, a), (9, a)]):
+        df = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
+        assert result(simhash.near_duplicates(df)) == brute(rows)
+        kept = simhash.one_of_each_group(df).collect()
+        assert len(kept) == 1 and kept[0].doc_id == min((i for i, _ in rows if i is not None), default=None)
