@@ -36,7 +36,7 @@ def brute(docs, items, width=5, coverage=0.8):
             if not v:
                 continue
             if len(v) < width:
-                if v == w:
+                if any(w[k : k + len(v)] == v for k in range(len(w) - len(v) + 1)):
                     out.append((d, i, 1, len(v), len(v), 1.0))
                 continue
             if not {tuple(v[k : k + width]) for k in range(len(v) - width + 1)} & {tuple(w[k : k + width]) for k in range(len(w) - width + 1)}:
@@ -79,6 +79,8 @@ def test_cases(spark):
         (1, "x y " + ITEM + " z"),
         (10, "noise " * 30_000 + ITEM),
         (11, " ".join(w[:8] + ["gap"] + w[9:])),
+        (12, "a longer text that holds two words, and two words again"),
+        (13, "two such words"),
     ]
     items = [(1, ITEM), (2, "two words"), (3, None), (4, ""), (None, ITEM), (1, ITEM), (5, "alpha beta gamma delta epsilon")]
     d = spark.createDataFrame([(*r, 0) for r in docs], "doc_id long, text string, item_id int")
@@ -89,8 +91,18 @@ def test_cases(spark):
     assert result(D.leaks(d.limit(0), b)) == [] and result(D.leaks(d, b.limit(0))) == []
 
 
+def test_rows_without_leaks(spark):
+    rows = [(1, ITEM, "a"), (1, "clean text", "b"), (None, "two words", "c"), (None, "fine", "d"), (2, None, "e"), (2, None, "e")]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string, item_id string"), spark.createDataFrame([(1, ITEM), (2, "two words"), (3, None)], "item_id long, text string")
+    for words in (10_000, 5):
+        assert sorted(r.item_id for r in D.without_leaks(d, b, block_words=words).collect()) == ["b", "d", "e", "e"]
+        assert D.without_leaks(d, b.limit(0), block_words=words).count() == 6
+
+
 def test_documents(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     got = result(D.op5_decontamination(spark, sf))
     assert got == brute(docs, items) and got
+    d, b = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    assert result(D.leaks(d, b, block_words=10)) == got  # joined
