@@ -140,7 +140,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     some = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     some = some.where("doc_id is not null and quality in (0, 1)").where(_crc("doc_id") != 2)
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
-    return with_id_and_text(docs).join(F.broadcast(some), "doc_id")  # at most ``rows`` ids
+    some = some.dropDuplicates(["doc_id"])
+    labelled = with_id_and_text(docs).join(F.broadcast(some), "doc_id")  # at most ``rows`` ids
+    return labelled.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))  # one row an id
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
@@ -175,6 +177,18 @@ def scores(docs: DataFrame, machine: Machine) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= LEVEL).cast("int").alias("predicted"))
 
 
+def kept(docs: DataFrame, machine: Machine) -> DataFrame:
+    """The rows of docs that the machine predicts to be good, with all their columns; each is decided by its text."""
+    shared, place = docs.sparkSession.sparkContext.broadcast(machine), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, features = shared.value, Features()
+        for batch in slices(batches):
+            yield batch.filter(pa.array([machine.score(*features(t or "")) >= LEVEL for t in batch.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return scores(docs, train(docs, table(spark, sf_dir, "labels")))
