@@ -48,10 +48,22 @@ def test_run(spark, sf, stages):
 
 
 def test_cases(spark, sf):
-    docs = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (2, "x" * 50_000, None, None, 1), (2, "x" * 50_000, None, None, 1), (None, "plain words", "en", "s", 3)], SCHEMA).withColumn("_id_", C.F.lit(1))
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, "x" * 50_000, None, None, 1), (2, "x" * 50_000, None, None, 1), (None, "plain words", "en", "s", 3), (2, "other words", "en", "s", 1), (None, "plain words", "en", "t", 3)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("_id_", C.F.lit(1))
+    want = {"line dedup": 7, "SimHash near-dedup": 4, "benchmark decontamination": 7}  # two texts without words are a group
     for some in (docs, docs.limit(0)):
-        for _, f in C.STAGES[:4]:
+        for name, f in C.STAGES[:4]:
             out = f(spark, some, sf)
             assert set(out.columns) == set(docs.columns)
-            out.collect()
+            n = out.count()
+            assert some is not docs or name not in want or n == want[name], (name, n)
         C.STAGES[4][1](spark, some, sf).collect()
+    left = C.near_dedup(spark, docs, sf).collect()
+    assert sorted((r.doc_id for r in left), key=str) == [1, 2, 2, None]
+
+
+def test_one_bad_row_takes_no_other_with_it(spark, sf):
+    """Rows of one id, or without one, are decided by their own texts."""
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    rows = [(None, item, "en", "s", 1), (None, "clean words", "en", "s", 1), (7, item, "en", "s", 1), (7, "clean words too", "en", "s", 1)]
+    assert sorted(r.text for r in C.decontaminated(spark, spark.createDataFrame(rows, SCHEMA), sf).collect()) == ["clean words", "clean words too"]
