@@ -3,15 +3,13 @@
 Each stage takes (spark, docs, sf_dir) with docs the stage before wrote, and works on all of them.
 All but the last return the columns of ``documents`` (with any others that docs has).
 
-What a stage decides takes effect: documents that the classifier rejects go (rows without an id
-can't be scored against labels but are scored and kept or rejected like any other); boilerplate
+What a stage decides takes effect: documents that the classifier rejects go; boilerplate
 lines leave their texts; of every near-duplicate group the document with the smallest id stays;
 documents with a leaked benchmark passage go. The last stage returns the encoded documents.
 
-Cases: repeated rows of one doc_id share their fate in the classifier and decontamination (any one
-that is to go takes the id with it), and in the near-duplicate stage one of identical rows stays;
-rows with a null doc_id pass the near-duplicate stage only if no row with an id is in their group,
-and pass decontamination only if no row without an id leaked; null texts count as empty.
+Cases: every row is decided by its own text, whatever its doc_id: rows of one id or without an id
+don't share their fate. Of a near-duplicate group one row stays: that with the smallest doc_id, of
+several the first; one without an id only if no row in the group has one. Null texts count as empty.
 """
 
 from __future__ import annotations
@@ -26,9 +24,7 @@ from shelfmark.llm.common import new_folder, table, tokenizer_file
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     on_workers(spark)
-    machine = quality.train(docs, table(spark, sf_dir, "labels"))
-    rejected = quality.scores(docs, machine).where("predicted = 0").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return quality.kept(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,14 +33,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     on_workers(spark)
-    kept = simhash.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    return simhash.one_of_each_group(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     on_workers(spark)
-    leaked = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
