@@ -236,9 +236,12 @@ def read_partial_date(c: Column) -> Column:
 
 
 def mark_of(name: Column) -> Column:
-    """Kind of translation by a name's tags: a fan's before an official one, else null."""
-    tags = F.lower(F.array_join(tag_groups(name), "|"))
-    return F.when(tags.rlike(r"\bt[-+]?(?:chi|zh|cn)|fan|hack"), "fan").when(tags.rlike(r"\b(?:china|zh|chinese|taiwan|hong kong)\b"), "official")
+    """Chinese by a fan's translation, told by a square group, before an official one, told by a round group of languages; else null."""
+    groups = lambda pattern: F.transform(F.regexp_extract_all(name, F.lit(pattern), F.lit(1)), F.lower)
+    fan = F.exists(groups(r"\[([^\]]*)\]"), lambda g: g.rlike(r"^(?:tr\s+zh(?:-\S*)?(?:\s|$)|t[+-]chi)"))
+    language = r"\s*[a-z]{2}(?:-[a-z0-9]+)?\s*"
+    official = F.exists(groups(r"\(([^)]*)\)"), lambda g: g.rlike(rf"^{language}(?:,{language})*$") & g.rlike(r"(?:^|,)\s*zh(?:-[a-z0-9]+)?\s*(?:,|$)"))
+    return F.when(fan, "fan").when(official, "official")
 
 
 def utf16_units(c: Column) -> Column:

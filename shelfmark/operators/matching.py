@@ -13,7 +13,7 @@ def hash_lookup(items: DataFrame, entries: DataFrame, key: str, size: str) -> Da
 
     An equi join with a residual, so Spark can shuffle or broadcast either side.
     """
-    e = entries.withColumnRenamed(size, "_entry_size")
+    e = entries.withColumnRenamed(size, "_entry_size")  # a column of this name may be in neither side
     out = items.join(e, key).where(F.col("_entry_size").isNull() | (F.col("_entry_size") == F.col(size)))
     return out.withColumn("confirmed", F.col("_entry_size").isNotNull()).drop("_entry_size")
 
@@ -32,25 +32,46 @@ def cascade(items: DataFrame, key: str, layers: list[tuple[str, DataFrame]]) ->
     return items.select(key).join(best, key, "left").select(key, F.coalesce("_best.layer", F.lit("unmatched")).alias("layer"), F.col("_best.entry").alias("entry"))
 
 
-def fuzzy_lookup(queries: DataFrame, names: DataFrame, least: float = 0.85, top: int = 3, hot: int = 3000, condition: Column | None = None) -> DataFrame:
+def _numbered(key: Column) -> Column:
+    """Bigrams told apart by how often they have come before, so that a multiset becomes a set."""
+    grams = bigrams(key)
+    return F.transform(grams, lambda g, i: F.struct(g.alias("gram"), F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda x: x == g)).alias("nth")))
+
+
+def _rarest(rows: DataFrame, counts: DataFrame, least: float) -> DataFrame:
+    """(id, key, same, gram, nth): each key's rarest bigrams, as many as leave too few others for a Dice of ``least``.
+
+    Two keys of that Dice share at least ``least`` / (2 - ``least``) of either's bigrams, so in any
+    one order of all bigrams they share one of these.
+    """
+    grams = rows.select("id", "key", F.explode(_numbered(F.col("key"))).alias("g")).select("id", "key", F.col("g.gram").alias("gram"), F.col("g.nth").alias("nth"))
+    lists = grams.join(counts, "gram").groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("n", "gram", "nth"))).alias("g"))  # as many as a name has letters
+    needed = F.size("g") - F.ceil(F.size("g") * (least / (2 - least)) - 1e-9).cast("int") + 1
+    return lists.select("id", "key", alnum(F.col("key")).alias("same"), F.explode(F.slice("g", F.lit(1), needed)).alias("g")).select("id", "key", "same", "g.gram", "g.nth")
+
+
+def fuzzy_lookup(queries: DataFrame, names: DataFrame, least: float = 0.85, top: int = 3, condition: Column | None = None) -> DataFrame:
     """(query_id, name_id, score, rank): up to ``top`` names by Dice of character bigrams.
 
     ``queries`` has (query_id, query_key), ``names`` (name_id, name_key), keys as ``name_key`` makes
-    them. Pairs meet on the rarest gram they can share: grams in over ``hot`` names are left out as
-    blocks. To reach a Dice of ``least``, lengths can differ by a bounded ratio only, and letters and
-    digits of ASCII must be the same; both are tested before the score. Equal keys join on their own,
-    so a key of nothing but hot grams still finds its equals.
+    them. Letters and digits of ASCII must be the same in both keys, so a key of nothing else finds
+    its equals only, by an equi join. Other keys meet where their rarest bigrams and their ASCII
+    letters are equal: no pair that reaches ``least`` is missed, and a very common bigram joins only
+    where a key has no rarer ones. Lengths that can't reach it are sorted out before the score.
+
+    Cases: null and empty keys find nothing; repeated ids and keys each give their pairs once; ties
+    are in the order of name_id.
     """
-    q = queries.select("query_id", "query_key").where("query_key <> ''")
-    n = names.select("name_id", "name_key").where("name_key <> ''")
-    grams = n.select("name_id", "name_key", F.explode(F.array_distinct(bigrams(F.col("name_key")))).alias("gram"))
-    rare = grams.groupBy("gram").count().where(F.col("count") <= hot).select("gram")
-    postings = grams.join(rare, "gram")
-    asked = q.select("query_id", "query_key", F.explode(F.array_distinct(bigrams(F.col("query_key")))).alias("gram"))
-    near = asked.join(postings, "gram").where((alnum(F.col("query_key")) == alnum(F.col("name_key"))) & (F.length("query_key") - 1 >= (F.length("name_key") - 1) * (least / (2 - least))) & (F.length("name_key") - 1 >= (F.length("query_key") - 1) * (least / (2 - least))))
-    near = near.select("query_id", "query_key", "name_id", "name_key")
-    equal = q.join(n, q.query_key == n.name_key).select("query_id", "query_key", "name_id", "name_key")
-    pairs = near.union(equal).distinct()
+    q = queries.select(F.col("query_id").alias("id"), F.col("query_key").alias("key")).where("key <> ''")
+    n = names.select(F.col("name_id").alias("id"), F.col("name_key").alias("key")).where("key <> ''")
+    mixed = lambda rows: rows.where(alnum(F.col("key")) != F.col("key"))
+    counts = mixed(n).union(mixed(q)).select(F.explode(bigrams(F.col("key"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    named = lambda rows, side: rows.select(F.col("id").alias(f"{side}_id"), F.col("key").alias(f"{side}_key"), *[c for c in ("same", "gram", "nth") if c in rows.columns])
+    near = named(_rarest(mixed(q), counts, least), "query").join(named(_rarest(mixed(n), counts, least), "name"), ["same", "gram", "nth"])
+    ratio = least / (2 - least)
+    near = near.where((F.length("query_key") - 1 >= (F.length("name_key") - 1) * ratio - 1e-9) & (F.length("name_key") - 1 >= (F.length("query_key") - 1) * ratio - 1e-9))
+    equal = named(q, "query").join(named(n, "name"), F.col("query_key") == F.col("name_key"))
+    pairs = near.select("query_id", "query_key", "name_id", "name_key").union(equal.select("query_id", "query_key", "name_id", "name_key")).distinct()
     if condition is not None:
         pairs = pairs.where(condition)
     scored = pairs.withColumn("score", F.when(F.col("query_key") == F.col("name_key"), F.lit(1.0)).otherwise(dice_of_grams(bigrams(F.col("query_key")), bigrams(F.col("name_key")))))

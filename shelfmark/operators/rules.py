@@ -81,8 +81,22 @@ def compile_rule(rule, columns: dict[str, Column], multi: frozenset[str] | set[s
 
 
 def filter_by(df: DataFrame, rule, columns: dict[str, Column] | None = None, multi: set[str] = frozenset()) -> DataFrame:
-    """Rows that satisfy a rule; clauses on plain columns reach the scan as pushed filters."""
-    return df.where(compile_rule(rule, columns or {c: F.col(c) for c in df.columns}, multi))
+    """Rows that satisfy a rule.
+
+    Clauses that must all hold become conjuncts of their own, bare of null handling (a filter takes
+    a null as false), so those on numbers reach the scan as pushed filters. Text compares with case
+    ignored, which no scan can do.
+    """
+    columns, todo = columns or {c: F.col(c) for c in df.columns}, [rule]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, All):
+            todo += x
+        elif isinstance(x, Clause) and x.op != "!=" and x.column not in multi:
+            df = df.where(reduce(or_, [_test(columns[x.column], x.op, v) for v in x.values]))
+        else:
+            df = df.where(compile_rule(x, columns, multi))
+    return df
 
 
 def clauses(rule) -> list[Clause]:

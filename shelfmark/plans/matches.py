@@ -72,27 +72,36 @@ def count_distinct_case(t):
 _GRAMS = "CASE WHEN length({0}) = 1 THEN [{0}] ELSE list_transform(generate_series(1, length({0}) - 1), lambda i: substring({0}, i::INT, 2)) END"
 
 
-@query(f"""WITH q AS (SELECT DISTINCT regexp_replace(lower(p_name || p_type), '[^a-z0-9]', '', 'g') AS k FROM part),
-n AS (SELECT k, {_GRAMS.format('k')} AS g FROM (SELECT DISTINCT regexp_replace(lower(p_name || reverse(p_type)), '[^a-z0-9]', '', 'g') AS k FROM part UNION SELECT k FROM q)),
-p AS (SELECT a.k AS query_id, b.k AS name_id, CASE WHEN a.k = b.k THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * list_sum(list_transform(list_distinct(a.g), lambda x: least(len(list_filter(a.g, lambda y: y = x)), len(list_filter(b.g, lambda y: y = x))))) / (len(a.g) + len(b.g)) END AS score
-FROM (SELECT k, {_GRAMS.format('k')} AS g FROM q) a JOIN n b ON a.k = b.k),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name_id) AS rank FROM p WHERE score >= 0.85)
-SELECT query_id, name_id, score, rank::INT AS rank FROM r WHERE rank <= 3""")
+_SCORED = f"""p AS (SELECT x.id AS query_id, y.id AS name_id, CASE WHEN x.k = y.k THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * list_sum(list_transform(list_distinct(x.g), lambda v: least(len(list_filter(x.g, lambda w: w = v)), len(list_filter(y.g, lambda w: w = v))))) / (len(x.g) + len(y.g)) END AS score
+FROM q x JOIN n y ON x.a = y.a), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name_id) AS rank FROM p WHERE score >= 0.85) SELECT query_id, name_id, score, rank::INT AS rank FROM r WHERE rank <= 3"""
+
+
+def _sql_names(rows: str) -> str:
+    return f"(SELECT id, k, regexp_replace(k, '[^0-9A-Za-z]', '', 'g') AS a, {_GRAMS.format('k')} AS g FROM (SELECT DISTINCT id, k FROM ({rows}) WHERE k <> ''))"
+
+
+_PART_KEY = "translate(regexp_replace(lower(p_name || p_type), '[^a-z0-9]', '', 'g'), 'aeiou', 'äëïöü')"
+
+
+@query(f"""WITH q AS {_sql_names(f"SELECT 'q' || p_partkey AS id, {_PART_KEY} AS k FROM part")},
+n AS {_sql_names(f"SELECT 'n' || p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN {_PART_KEY} WHEN 1 THEN replace({_PART_KEY}, 'ä', 'á') WHEN 2 THEN regexp_replace({_PART_KEY}, '[öü]', '') ELSE replace({_PART_KEY}, 'ë', '') END AS k FROM part")}, {_SCORED}""")
 def fuzzy_dice_topk(t):
-    queries = t.part.select(T.name_key(F.concat("p_name", "p_type")).alias("query_key")).distinct().withColumn("query_id", F.col("query_key"))
-    names = t.part.select(T.name_key(F.concat("p_name", F.reverse("p_type"))).alias("name_key")).union(queries.select("query_key")).distinct().withColumn("name_id", F.col("name_key"))
-    return M.fuzzy_lookup(queries, names)
+    """Names of parts with every vowel accented, against spellings that change or lose some."""
+    k = T.name_key(F.translate(F.lower(F.concat("p_name", "p_type")), "aeiou", "äëïöü"))
+    keyed = t.part.select("p_partkey", k.alias("k"))
+    other = F.when(F.col("p_partkey") % 4 == 0, F.col("k")).when(F.col("p_partkey") % 4 == 1, F.replace("k", F.lit("ä"), F.lit("á"))).when(F.col("p_partkey") % 4 == 2, F.expr("regexp_replace(k, '^([^öü]*)[öü]', '$1')")).otherwise(F.replace("k", F.lit("ë"), F.lit("")))
+    queries = keyed.select(F.concat(F.lit("q"), F.col("p_partkey").cast("string")).alias("query_id"), F.col("k").alias("query_key"))
+    return M.fuzzy_lookup(queries, keyed.select(F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("name_id"), other.alias("name_key")))
+
+
+_TITLE = "trim(regexp_extract(html, '<title>([^<]*)</title>', 1))"
 
 
-@query(f"""WITH d AS (SELECT doc_id, lang, left(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]', '', 'g'), 40) AS k FROM documents WHERE lang <> 'en'),
-f AS (SELECT lang, k, regexp_replace(k, '[^0-9A-Za-z]', '', 'g') AS a, {_GRAMS.format('k')} AS g FROM (SELECT DISTINCT lang, k FROM d WHERE k <> '')),
-p AS (SELECT x.k AS query_id, y.k AS name_id, CASE WHEN x.k = y.k THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * list_sum(list_transform(list_distinct(x.g), lambda v: least(len(list_filter(x.g, lambda w: w = v)), len(list_filter(y.g, lambda w: w = v))))) / (len(x.g) + len(y.g)) END AS score
-FROM (SELECT DISTINCT k, a, g FROM f) x JOIN (SELECT DISTINCT k, a, g FROM f) y ON x.a = y.a),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name_id) AS rank FROM p WHERE score >= 0.85)
-SELECT query_id, name_id, score, rank::INT AS rank FROM r WHERE rank <= 3""")
+@query(f"""WITH q AS {_sql_names(f"SELECT page_id AS id, regexp_replace(lower({_TITLE}), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS k FROM pages")}, n AS (SELECT * FROM q), {_SCORED}""")
 def fuzzy_titles(t):
-    keys = t.documents.where("lang <> 'en'").select(F.substring(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]", ""), 1, 40).alias("k")).where("k <> ''").distinct()
-    return M.fuzzy_lookup(keys.select(F.col("k").alias("query_id"), F.col("k").alias("query_key")), keys.select(F.col("k").alias("name_id"), F.col("k").alias("name_key")))
+    """Titles of pages against each other."""
+    keys = t.pages.select("page_id", T.name_key(F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1))).alias("k"))
+    return M.fuzzy_lookup(keys.select(F.col("page_id").alias("query_id"), F.col("k").alias("query_key")), keys.select(F.col("page_id").alias("name_id"), F.col("k").alias("name_key")))
 
 
 @query("""SELECT a.s_suppkey AS supplier, b.c_custkey AS customer FROM (SELECT s_suppkey, floor(s_acctbal)::BIGINT AS x FROM supplier) a

@@ -83,23 +83,23 @@ def priority_shift_diff(t):
     return P.shifts(_values(t), ["user_id", "field"], P.source_rank(F.col("source"), _ORDER), P.source_rank(F.col("source"), ["error"]))
 
 
-@query("""SELECT source, text AS title, lang FROM (SELECT source, left(text, 60) AS text, lang, row_number() OVER (PARTITION BY source ORDER BY coalesce(quality, 0) DESC, CASE lang WHEN 'de' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END, -n_chars, left(text, 60)) AS rn
+@query("""SELECT source, text AS title, lang FROM (SELECT source, text, lang, row_number() OVER (PARTITION BY source ORDER BY coalesce(quality, 0) DESC, CASE lang WHEN 'de' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END, -n_chars, text) AS rn
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) WHERE rn = 1""")
 def display_title(t):
-    both = t.documents.join(t.labels, "doc_id", "left").select("source", F.substring("text", 1, 60).alias("title"), "lang", "n_chars", "quality")
+    both = t.documents.join(t.labels, "doc_id", "left").select("source", F.col("text").alias("title"), "lang", "n_chars", "quality")
     order = [-F.coalesce("quality", F.lit(0)), P.source_rank(F.col("lang"), ["de", "fr"]), -F.col("n_chars"), F.col("title")]
     return P.least_by(both, ["source"], order, ["title", "lang"])
 
 
 @query("""SELECT lang, string_agg(source, '|' ORDER BY first) AS others FROM (SELECT lang, source, min(rn) AS first FROM (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rn FROM documents) GROUP BY ALL HAVING min(rn) > 1) GROUP BY lang""")
 def also_known_as(t):
-    return P.others_in_order(t.documents, ["lang"], [F.desc("n_chars"), F.asc("doc_id")], "source")
+    return P.others_in_order(t.documents, ["lang"], [-F.col("n_chars"), F.col("doc_id")], "source")
 
 
 @query("""SELECT doc_id, CASE WHEN regexp_matches(text, '[\\p{Hiragana}\\p{Katakana}]') THEN 'ja' WHEN regexp_matches(text, '\\p{Hangul}') THEN 'ko' WHEN regexp_matches(text, '\\p{Han}') THEN 'zh' WHEN regexp_matches(text, '\\p{Cyrillic}') THEN 'ru' WHEN regexp_matches(text, '\\p{L}') THEN 'en' ELSE 'unknown' END AS script,
-trim(regexp_replace(left(text, 80), '\\s+', ' ', 'g')) AS title FROM documents""")
+trim(regexp_replace(text, '\\s+', ' ', 'g')) AS title FROM documents""")
 def language_detect(t):
-    return t.documents.select("doc_id", T.language_of(F.col("text"), F.lit(None).cast("string")).alias("script"), T.tidy(F.substring("text", 1, 80)).alias("title"))
+    return t.documents.select("doc_id", T.language_of(F.col("text"), F.lit(None).cast("string")).alias("script"), T.tidy(F.col("text")).alias("title"))
 
 
 _PATH = "regexp_replace(regexp_replace(url, '[?#].*$', ''), '/$', '')"
@@ -131,13 +131,12 @@ def shape_volumes(t):
     return S.volumes(files, "key")
 
 
-@query("""SELECT name, row_number() OVER (ORDER BY num, name)::INT AS place FROM (SELECT DISTINCT 'Customer ' || (c_custkey % 300) AS name, c_custkey % 300 AS num FROM customer) ORDER BY num LIMIT 40""")
+@query("""SELECT name, row_number() OVER (ORDER BY num, name)::INT AS place FROM (SELECT DISTINCT 'Customer ' || (c_custkey % 300) AS name, c_custkey % 300 AS num FROM customer)""")
 def natural_sort(t):
     names = t.customer.select(F.concat(F.lit("Customer "), (F.col("c_custkey") % 300).cast("string")).alias("name")).distinct()
-    first = names.orderBy(T.natural_key(F.col("name"))).limit(40)
     from pyspark.sql import Window
 
-    return first.withColumn("place", F.row_number().over(Window.orderBy(T.natural_key(F.col("name")), "name")))  # 40 rows
+    return names.withColumn("place", F.row_number().over(Window.orderBy(T.natural_key(F.col("name")), "name")))  # 300 names at most
 
 
 @query("""WITH l AS (SELECT 's' || (doc_id % 17) || '/f' || (doc_id % 211) || '.sav' AS key, 's' || (doc_id % 17) AS dir, doc_id % 211 AS stem FROM labels),
@@ -247,9 +246,12 @@ def coverage(t):
     return H.running_share(t.documents.groupBy("source").agg(F.count("*").alias("n")), "n", [F.desc("n"), F.asc("source")])
 
 
-@query("""SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part) WHERE i % greatest(1, n // 4) = 0 AND i // greatest(1, n // 4) < 4""")
+@query("""WITH n AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1),
+s AS (SELECT p_brand, n, CASE WHEN n <= 2 THEN 1 ELSE coalesce(list_filter(range(greatest(1, floor(n * 0.6180339887499))::BIGINT, greatest(1, floor(n * 0.6180339887499))::BIGINT + 201), lambda x: x < n AND gcd(x, n) = 1)[1], 1) END AS stride FROM n),
+w AS (SELECT p_brand, (7 + unnest(range(0, least(4, n))) * stride) % n AS i FROM s)
+SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i FROM part) JOIN w USING (p_brand, i)""")
 def stride_sample(t):
-    return Q.stride_sample(t.part.select("p_brand", "p_partkey"), ["p_brand"], [F.asc("p_partkey")], 4)
+    return Q.spread_sample(t.part.select("p_brand", "p_partkey"), ["p_brand"], [F.asc("p_partkey")], 4, seed=7)
 
 
 @query("""SELECT k AS key, count(*) AS n FROM (SELECT p_partkey, unnest(list_distinct([p_brand, p_type, p_name])) AS k FROM part) GROUP BY 1""")

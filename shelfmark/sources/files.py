@@ -73,15 +73,10 @@ def magic(content: Column, kinds: list[tuple[str, int, str]] = MAGICS) -> Column
 
 
 def header_bytes(key: Column, content: Column, length: Column) -> Column:
-    """Bytes that a dumping tool put in front, by extension, magic and size; 0 if none."""
-    ext = extension(key)
-    return (
-        F.when((ext == "nes") & (F.substring(content, 1, 4) == F.unhex(F.lit("4E45531A"))), 16)
-        .when(ext.isin("sfc", "smc", "swc", "fig") & (length % 1024 == 512), 512)
-        .when((ext == "a78") & (F.substring(content, 2, 9) == F.unhex(F.lit("415441524937383030"[:18]))), 128)
-        .when((ext == "lnx") & (F.substring(content, 1, 4) == F.unhex(F.lit("4C594E58"))), 64)
-        .otherwise(0)
-    )
+    """Bytes that a dumping tool put in front: by magic, or by extension and size where there is none; 0 if none."""
+    begins = lambda at, code: F.substring(content, at, len(code) // 2) == F.unhex(F.lit(code))
+    copier = extension(key).isin("sfc", "smc", "swc", "fig") & (length % 1024 == 512)
+    return F.when(begins(1, "4E45531A") | begins(1, "4644531A"), 16).when(begins(1, "4C594E58"), 64).when(begins(2, "415441524937383030"), 128).when(copier, 512).otherwise(0)
 
 
 def fingerprints(files: DataFrame) -> DataFrame:

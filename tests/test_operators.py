@@ -158,8 +158,45 @@ def test_fuzzy_lookup_against_brute_force(spark):
         want += [(q, n, -s, k + 1) for k, (s, n) in enumerate(near)]
     got = matching.fuzzy_lookup(df.select(F.col("k").alias("query_id"), F.col("k").alias("query_key")), df.select(F.col("k").alias("name_id"), F.col("k").alias("name_key")))
     assert rows(got) == sorted(want, key=str)
-    hot = matching.fuzzy_lookup(df.select(F.col("k").alias("query_id"), F.col("k").alias("query_key")), df.select(F.col("k").alias("name_id"), F.col("k").alias("name_key")), hot=0)
-    assert {(r.query_id, r.name_id) for r in hot.collect()} == {(k, k) for k in keys if k}  # equal keys don't need a block
+
+
+def test_fuzzy_lookup_of_very_common_grams(spark):
+    """Many names that share nearly all their bigrams: every pair that reaches the score is found."""
+    import random
+
+    rng, letters = random.Random(2), "äëïöüßéè"
+    keys = sorted({"".join(rng.choice(letters[:3]) for _ in range(rng.randrange(2, 14))) + rng.choice(["", "1", "x"]) for _ in range(150)})
+    df = spark.createDataFrame([(k,) for k in keys] + [(None,), ("",)], "k string")
+    grams = lambda s: [s[i : i + 2] for i in range(len(s) - 1)] if len(s) > 1 else [s]
+    plain = lambda s: "".join(c for c in s if c.isascii() and c.isalnum())
+    want = set()
+    for q in keys:
+        for n in keys:
+            x, y = grams(q), grams(n)
+            if plain(q) == plain(n) and (q == n or 2 * sum(min(x.count(g), y.count(g)) for g in set(x)) / (len(x) + len(y)) >= 0.85):
+                want.add((q, n))
+    got = matching.fuzzy_lookup(df.select(F.col("k").alias("query_id"), F.col("k").alias("query_key")), df.select(F.col("k").alias("name_id"), F.col("k").alias("name_key")), top=1000)
+    assert {(r.query_id, r.name_id) for r in got.collect()} == want and len(want) > len(keys)
+
+
+def test_values_of_unknown_time_and_order(spark):
+    v = spark.createDataFrame([("k", "a", "old", None), ("k", "a", "new", 5), ("k", "b", "other", 9), ("m", "a", "only", None)], "k string, source string, value string, at long")
+    rank = priority.source_rank(F.col("source"), ["a", "b"])
+    assert rows(priority.pick(v, ["k"], rank).select("k", "value")) == [("k", "new"), ("m", "only")]
+    assert rows(priority.shifts(v, ["k"], rank, priority.source_rank(F.col("source"), ["b"]))) == [("k", "new", "other")]
+    assert rows(priority.least_by(v, ["k"], [F.col("at")], ["value"])) == [("k", "new"), ("m", "only")]
+    assert rows(priority.others_in_order(v, ["k"], [F.col("at")], "value")) == [("k", "other|old")]
+
+
+def test_marks_and_filters(spark):
+    names = {"Dark (1999)(SNK)(en-ja)[tr zh]": "fan", "G [tr zh-Hans group]": "fan", "G [T+ChiNew_J]": "fan", "G [tr ru x]": None, "G [fantastic]": None, "G (En,Zh-Hans)": "official", "G (Zhu Zhu Pets)": None, "G (China)": None, "G [tr zh](Ja,Zh)": "fan", "G (zh)": "official", "G": None}
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r.n: r.m for r in df.select("n", T.mark_of(F.col("n")).alias("m")).collect()} == names
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    few = filter_by(part, All(Clause("p_size", "<=", 5), AnyOf(Clause("p_brand", "=", "brand#1"), Clause("p_size", "=", 3))))
+    plan = few._jdf.queryExecution().toString()
+    assert "LessThanOrEqual(p_size,5)" in plan
+    assert sorted(r.p_partkey for r in few.collect()) == sorted(r.p_partkey for r in part.where("p_size <= 5 and (lower(p_brand) = 'brand#1' or p_size = 3)").collect())
 
 
 def test_lookups_and_pairs(spark):
@@ -242,8 +279,9 @@ def test_queues_and_entries(spark):
     items = spark.createDataFrame([("s", "abc 1"), ("s", "abc 2"), ("t", "x"), ("t", "y"), ("u", "same"), ("u", "same")], "g string, e string")
     assert rows(triage.batches(items, ["g"], "e")) == [("s", 2, "abc "), ("t", 2, ""), ("u", 2, "same")]
     many = spark.range(10).select(F.lit("g").alias("g"), "id")
-    assert [r.id for r in triage.stride_sample(many, ["g"], [F.asc("id")], 4).orderBy("id").collect()] == [0, 2, 4, 6]
-    assert len(rows(triage.stride_sample(many, ["g"], [F.asc("id")], 40))) == 10
+    drawn = lambda n, seed: [r.id for r in triage.spread_sample(many, ["g"], [F.asc("id")], n, seed).orderBy("id").collect()]
+    assert drawn(4, 0) == [0, 1, 4, 7] and drawn(4, 1) == [1, 2, 5, 8] and drawn(4, 10) == drawn(4, 0)  # a stride of 7
+    assert drawn(40, 3) == list(range(10))
     e = converge.entries(spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "g string, k int"), [F.col("g")], converge.preference([F.col("k") == 2]), "k")
     assert rows(e) == [("a", "2", 2, "2|1"), ("b", "3", 1, "3")]
 
