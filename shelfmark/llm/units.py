@@ -53,8 +53,7 @@ class UnitEncoder:
         added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         # the library takes these out of a text first, and encodes what lies between by itself
         self.added = re.compile("|".join(re.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
-        self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True  # units hold none of them; words side by side must not make one
+        self.tokenizer.encode_special_tokens = True  # units hold none of them; words side by side must not make one
         self.dtype = np.dtype("<u2" if width == 2 else "<u4")
         self.cache_units, self.old = cache_units, {}
         self.fixed = {t: np.asarray([i], self.dtype).tobytes() for t, i in added.items()}
@@ -81,7 +80,7 @@ class UnitEncoder:
         self._learn_words(bare, "\n", 2)
         for i in range(0, len(others), 4096):
             some = others[i : i + 4096]
-            for u, e in zip(some, self.plain.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            for u, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 known[u] = np.asarray(e.ids, self.dtype).tobytes()
 
     def _learn_words(self, words: list[str], between: str, step: int) -> None:
@@ -89,7 +88,7 @@ class UnitEncoder:
         width = self.dtype.itemsize
         for i in range(0, len(words), 256):
             some = words[i : i + 256]
-            e = self.plain.encode(between.join(some), add_special_tokens=False)
+            e = self.tokenizer.encode(between.join(some), add_special_tokens=False)
             at = np.searchsorted(np.array(e.word_ids), np.arange(len(some) * step - (step - 1)))
             at = [*(at * width).tolist(), len(e.ids) * width]
             raw = np.asarray(e.ids, self.dtype).tobytes()
