@@ -118,3 +118,46 @@ def different_values(values: DataFrame, subject: str, field: str, value: str, a,
     """(field, a, b): fields whose values differ between two subjects that are to be merged."""
     both = values.where(F.col(subject).isin(a, b)).groupBy(field).agg(F.max(F.when(F.col(subject) == a, F.col(value))).alias("a"), F.max(F.when(F.col(subject) == b, F.col(value))).alias("b"))
     return both.where(~F.col("a").eqNullSafe(F.col("b")))
+
+
+def key_counts(entries: DataFrame, keys: DataFrame, entry: str, key: str, by: str) -> DataFrame:
+    """(by, keys): distinct keys (serials) of each kind of entry; entries without a key, and keys without an entry, don't count.
+
+    A null kind is a kind like any other.
+    """
+    return keys.where(F.col(key).isNotNull()).select(entry, key).distinct().join(entries.select(entry, by), entry).groupBy(by).agg(F.countDistinct(key).alias("keys"))
+
+
+def without_members(groups: DataFrame, members: DataFrame, group: str) -> DataFrame:
+    """Groups that no member names, null ones among them: what a clean-up deletes."""
+    return groups.join(members.select(group), group, "left_anti")
+
+
+def forgotten(values: DataFrame, told: DataFrame, keys: list[str]) -> DataFrame:
+    """Values without those of the told (keys); a null in a key is matched by a null."""
+    t = told.select(*[F.col(k).alias(f"_t{j}") for j, k in enumerate(keys)]).distinct()
+    return values.join(t, [F.col(k).eqNullSafe(F.col(f"_t{j}")) for j, k in enumerate(keys)], "left_anti")
+
+
+def shown_year(values: DataFrame, subject: str, first_source: str, year: str = "value", source: str = "source") -> DataFrame:
+    """(subject, year): the earliest year that ``first_source`` says, else the earliest of all; only four digits are a year."""
+    one = F.when(F.col(year).rlike("^[0-9]{4}$"), F.col(year))
+    told = F.min(F.when(F.col(source) == first_source, one))
+    return values.groupBy(subject).agg(F.coalesce(told, F.min(one)).alias("year"))
+
+
+def left_after(members: DataFrame, moving: DataFrame, group: str, member: str, counted: DataFrame) -> DataFrame:
+    """(group, n): members left in each of the ``counted`` groups once the moving ones are gone, 0 where none is."""
+    left = members.select(group, member).distinct().join(moving.select(member).distinct(), member, "left_anti").groupBy(group).agg(F.count("*").alias("n"))
+    return counted.select(group).distinct().join(left, group, "left").select(group, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def settled(units: DataFrame, item: str, prints: str, reason: str) -> DataFrame:
+    """(item, settled): whether every unit of an item has a print or a stated reason for having none."""
+    return units.groupBy(item).agg(F.bool_and(F.col(prints).isNotNull() | F.col(reason).isNotNull()).alias("settled"))
+
+
+def breakdown(pending: DataFrame, decided: DataFrame, axis: str) -> DataFrame:
+    """(axis, pending, decided): open and decided cases of each part, parts of either kind; a null part is one."""
+    both = pending.select(axis, F.lit(1).alias("p"), F.lit(0).alias("d")).union(decided.select(axis, F.lit(0), F.lit(1)))
+    return both.groupBy(axis).agg(F.sum("p").alias("pending"), F.sum("d").alias("decided"))

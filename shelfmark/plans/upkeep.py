@@ -103,3 +103,44 @@ def stage_survey(t):
 HAVING max(p_retailprice) FILTER (p_brand = 'Brand#1') IS DISTINCT FROM max(p_retailprice) FILTER (p_brand = 'Brand#2')""")
 def merge_conflicts(t):
     return U.different_values(t.part.withColumnRenamed("p_type", "field"), "p_brand", "field", "p_retailprice", "Brand#1", "Brand#2")
+
+
+@query("""SELECT p_brand, count(DISTINCT l_suppkey) AS keys FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY 1""")
+def key_counts(t):
+    return U.key_counts(t.part.select("p_partkey", "p_brand"), t.lineitem.select(F.col("l_partkey").alias("p_partkey"), "l_suppkey"), "p_partkey", "l_suppkey", "p_brand")
+
+
+@query("""SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+def groups_without_members(t):
+    return U.without_members(t.customer.select("c_custkey", "c_name"), t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("""SELECT event_id, user_id, event_type FROM events WHERE NOT (user_id % 5 = 0 AND event_type = 'click')""")
+def values_forgotten(t):
+    values = t.events.select("event_id", "user_id", "event_type")
+    return U.forgotten(values, values.where("user_id % 5 = 0 and event_type = 'click'"), ["user_id", "event_type"])
+
+
+@query("""WITH v AS (SELECT o_custkey, o_orderpriority AS source, CASE WHEN o_orderkey % 9 = 0 THEN 'n/a' ELSE year(o_orderdate)::VARCHAR END AS y FROM orders)
+SELECT o_custkey, coalesce(min(CASE WHEN source = '1-URGENT' AND y <> 'n/a' THEN y END), min(CASE WHEN y <> 'n/a' THEN y END)) AS year FROM v GROUP BY 1""")
+def shown_year(t):
+    value = F.when(F.col("o_orderkey") % 9 == 0, "n/a").otherwise(F.year("o_orderdate").cast("string"))
+    return U.shown_year(t.orders.select("o_custkey", F.col("o_orderpriority").alias("source"), value.alias("value")), "o_custkey", "1-URGENT")
+
+
+@query("""SELECT o_custkey, count(*) FILTER (o_orderstatus <> 'F') AS n FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1""")
+def left_after_moving(t):
+    o = t.orders.select("o_custkey", "o_orderkey", "o_orderstatus")
+    return U.left_after(o, o.where("o_orderstatus = 'F'"), "o_custkey", "o_orderkey", o.where("o_custkey % 3 = 0"))
+
+
+@query("""SELECT l_orderkey, bool_and(l_quantity > 5 OR l_returnflag = 'R') AS settled FROM lineitem GROUP BY 1""")
+def settled_items(t):
+    units = t.lineitem.select("l_orderkey", F.when(F.col("l_quantity") > 5, F.col("l_partkey")).alias("print"), F.when(F.col("l_returnflag") == "R", "returned").alias("reason"))
+    return U.settled(units, "l_orderkey", "print", "reason")
+
+
+@query("""SELECT lang, count(*) FILTER (l.doc_id IS NULL)::BIGINT AS pending, count(l.doc_id)::BIGINT AS decided FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id GROUP BY 1""")
+def breakdown_axis(t):
+    docs = t.documents.select("doc_id", "lang")
+    return U.breakdown(docs.join(t.labels.select("doc_id"), "doc_id", "left_anti"), docs.join(t.labels.select("doc_id"), "doc_id", "left_semi"), "lang")
