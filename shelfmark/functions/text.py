@@ -6,6 +6,9 @@ gives null unless said otherwise.
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,7 +48,7 @@ def root_of(key: Column) -> Column:
 
 def rest_of(key: Column) -> Column:
     """What follows the first slash; empty without one."""
-    return F.when(F.instr(key, "/") > 0, F.regexp_replace(key, r"^[^/]*/", "")).otherwise(F.lit(""))
+    return F.when(F.instr(key, "/") > 0, F.regexp_replace(key, r"^[^/]*/", "")).when(key.isNotNull(), "")
 
 
 def base_name(key: Column) -> Column:
@@ -244,6 +247,62 @@ def mark_of(name: Column) -> Column:
     return F.when(fan, "fan").when(official, "official")
 
 
+def translation_group(name: Column) -> Column:
+    """Who translated, of the first square group ``tr zh ...`` or ``tr chi ...``; null if it names nobody."""
+    groups = F.transform(F.regexp_extract_all(name, F.lit(r"\[([^\]]*)\]"), F.lit(1)), lambda g: F.trim(F.regexp_replace(g, r"(?U)\s+", " ")))
+    first = F.get(F.filter(groups, lambda g: g.rlike(r"^tr (?:zh\S*|chi)(?: |$)")), F.lit(0))
+    return F.nullif(F.regexp_replace(first, r"^tr \S+ ?", ""), F.lit(""))
+
+
+def fold_platform(c: Column) -> Column:
+    """A platform's name without case, white space and ``-._``."""
+    return F.regexp_replace(fold(c), r"(?U)[\s\-._]", "")
+
+
+PATCHES = ["ips", "ups", "bps", "aps", "ppf", "xdelta", "xdelta3", "vcdiff", "rup", "dps", "ebp"]  # fixed values
+
+
+def patch_extension(key: Column) -> Column:
+    """Extension of a patch, null for anything else."""
+    return F.when(extension(key).isin(PATCHES), extension(key))
+
+
+@cache
+def _cases() -> dict[str, str]:
+    """Characters by the first character of their lower case."""
+    out: dict[str, str] = {}
+    for ch in (chr(n) for n in range(0x20000) if not 0xD800 <= n < 0xE000):
+        if ch.lower() != ch:
+            out[ch.lower()[0]] = out.get(ch.lower()[0], "") + ch
+    return out
+
+
+def _glob(pattern: str) -> str:
+    """Java pattern of a small glob: ``#`` a digit, ``@`` a letter of A-Z, ``*`` anything, case ignored; ValueError if empty or with over four ``*``."""
+    if not pattern or pattern.count("*") > 4:
+        raise ValueError(f"not a pattern: {pattern!r}")
+    units = {"#": "[0-9]", "@": "[A-Za-z]", "*": ".*"}
+    alike = lambda low: "[" + re.escape(low) + _cases().get(low, "") + "]"
+    return "".join(units.get(ch) or alike(ch.lower()[0]) for ch in pattern)
+
+
+def matches_glob(c: Column, pattern: str) -> Column:
+    """Whether a whole text matches a small glob."""
+    return c.rlike(rf"(?s)^{_glob(pattern)}\z")
+
+
+def without_glob_suffix(c: Column, pattern: str) -> Column:
+    """What stands before the longest end that matches a small glob and starts the text or follows a blank, bracket or mark; null if none does."""
+    found = rf"(?s)^(|.*?(?:(?U:\s)|[-()\[\]{{}}_.、（［【）］】])){_glob(pattern)}\z"
+    return F.when(c.rlike(found), F.regexp_extract(c, found, 1))
+
+
+def format_rating(v: Column) -> Column:
+    """A rating from 0 to 1 in tenths, as short as can be: ``0.7``, ``1``."""
+    tenths = F.floor(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) * 10 + F.lit(0.5)) / 10
+    return F.regexp_replace(tenths.cast("string"), r"\.0$", "")
+
+
 def utf16_units(c: Column) -> Column:
     return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
 
