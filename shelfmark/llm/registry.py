@@ -9,6 +9,7 @@ from .embeddings import ORACLE_SQL as EMBEDDINGS_SQL
 from .embeddings import op10_embedding_dedup
 from .lines import ORACLE_SQL as LINES_SQL
 from .lines import op4_line_dedup
+from .packing import op12_best_fit_packing
 from .passages import op9_repeated_passages
 from .quality import op7_quality
 from .sentencepieces import op8_sentencepiece
@@ -16,6 +17,7 @@ from .simhash import op3_simhash
 from .token_records import op6_token_records
 from .token_trees import op2_token_counts
 from .warc import op1_warc_derivatives
+from .whitening import op13_embedding_whitening
 
 
 def queries() -> dict:
@@ -31,6 +33,8 @@ def queries() -> dict:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_repeated_passages": op9_repeated_passages,
         "op10_embedding_dedup": op10_embedding_dedup,
+        "op12_best_fit_packing": op12_best_fit_packing,
+        "op13_embedding_whitening": op13_embedding_whitening,
     }
 
 
