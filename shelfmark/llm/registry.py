@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
+from .alignment import op11_cross_tokenizer_alignment
 from .decontaminate import op5_decontamination
 from .embeddings import ORACLE_SQL as EMBEDDINGS_SQL
 from .embeddings import op10_embedding_dedup
@@ -33,6 +34,7 @@ def queries() -> dict:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_repeated_passages": op9_repeated_passages,
         "op10_embedding_dedup": op10_embedding_dedup,
+        "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
         "op12_best_fit_packing": op12_best_fit_packing,
         "op13_embedding_whitening": op13_embedding_whitening,
     }
