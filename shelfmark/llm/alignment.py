@@ -8,12 +8,12 @@ of the corpus is tokenised and aligned once:
 
 1. Each task deals its documents to chunks of a bounded size. A chunk has a dictionary of its
    distinct segments, and its documents are lists of places in it.
-2. The distinct segments of all dictionaries are tokenised, and byte offsets where tokens of both end
-   cut them into groups. No group reaches over a segment's end.
-3. Alignments are joined to the dictionaries, by segment and chunk rather than by occurrence. Chunks
-   count the documents that hold an id pair linked; the counts are summed over the corpus.
-4. Counts are joined to the segments' pairs and summed by segment; dictionaries take these up, and
-   documents are composed within their chunk.
+2. Dictionaries are dealt by buckets of their segments. A bucket's distinct segments are tokenised
+   once; byte offsets where tokens of both end cut them into groups, none of which reaches over a
+   segment's end. Every chunk is answered with the alignments of its own segments.
+3. Documents are composed within their chunk, which also counts the documents that hold an id pair
+   linked. The counts are summed over the corpus and joined back by chunk and pair, so what is
+   joined are dictionaries and pairs, never occurrences.
 
 Cases: a null or empty text has no tokens, nor has one whose tokens' bytes differ from its own (with
 U+2581 in it, which the second tokenizer reads as a blank): zeros, and an empty digest; it doesn't count
@@ -26,7 +26,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -37,16 +37,36 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, tokenizer_file, with_id_and_text, written
+from .common import shuffle_partitions, slices, table, tokenizer_file, with_id_and_text, written
 from .units import WS, blocks
 
 BLANK = "▁"
 SEGMENT = re.compile(f"[{WS}]*[^{WS}]+|[{WS}]+")
 _IS_WS = re.compile(f"[{WS}]").fullmatch
 CHUNK_CHARS, CHUNK_SEGMENTS = 1 << 24, 1 << 18  # a chunk ends with the document that reaches either
-SLICE = 1 << 20  # segments of documents that are counted at once
-CHUNKS = "chunk long, row int, doc_id long, places binary, segment string"
-SEGMENTS = "seg long, segment string, ok boolean, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<long>"
+BATCH_PLACES = 1 << 20  # segments of the documents of one row
+BUCKETS = 16  # of segments, for each shuffle partition
+LARGE_GROUP = 1 << 12  # links of a group that are counted by id rather than one by one
+CHUNKS = "chunk long, bucket int, ids array<long>, data binary"
+REPLIES = "chunk long, data binary"
+_NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+
+
+def packed(*arrays) -> bytes:
+    """Arrays of numbers below 2^32 as compressed bytes, each byte's plane by itself."""
+    import zstandard
+
+    sizes = np.array([len(arrays), *map(len, arrays)], "<u4")
+    flat = np.concatenate([sizes, *(np.asarray(x, "<u4") for x in arrays)])
+    return zstandard.compress(np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    flat = np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    at = np.cumsum([flat[0] + 1, *flat[1 : flat[0] + 1]])
+    return [flat[i:j].astype(np.int64) for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
 class Pair:
@@ -96,35 +116,32 @@ class Pair:
                 raise ValueError("the second tokenizer merged a segment with the letter in front of it")
             yield x.ids, y[n:]
 
-    def aligned(self, segments: list[str]) -> Iterator[tuple]:
-        """(ok, n_a, n_b, n_groups, n_links, groups, pairs, times) for each segment; a pair is a_id << 32 | b_id."""
+    def aligned(self, segments: list[str]) -> Iterator[tuple | None]:
+        """(sizes of groups in the first, and in the second tokenizer, ids of both) for each segment; None where bytes differ."""
         raw_a, raw_b = self.raw_a, self.raw_b
         for s, (a, b) in zip(segments, self.encode(segments), strict=True):
-            raw = s.encode()
-            if b"".join([raw_a[i] for i in a]) != raw or b"".join([raw_b[i] for i in b]) != raw:
-                yield False, 0, 0, 0, 0, "", [], []
-                continue
-            groups = [(a, b)] if len(a) == 1 or len(b) == 1 else list(self.groups(a, b))
-            links: Counter = Counter()
-            for x, y in groups:
-                if len(x) == len(y) == 1:
-                    links[x[0] << 32 | y[0]] += 1
-                else:
-                    b_times = Counter(y).items()
-                    for i, m in Counter(x).items():
-                        for j, n in b_times:
-                            links[i << 32 | j] += m * n
-            yield True, len(a), len(b), len(groups), sum(len(x) * len(y) for x, y in groups), ";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups]), list(links), list(links.values())
-
-    def groups(self, a: list[int], b: list[int]) -> Iterator[tuple[list[int], list[int]]]:
-        """Cut where tokens of both end."""
-        ends_a = np.cumsum([len(self.raw_a[i]) for i in a])
-        ends_b = np.cumsum([len(self.raw_b[i]) for i in b])
-        _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        i = j = 0
-        for x, y in zip((at_a + 1).tolist(), (at_b + 1).tolist(), strict=True):
-            yield a[i:x], b[j:y]
-            i, j = x, y
+            raw, x, y = s.encode(), [raw_a[i] for i in a], [raw_b[i] for i in b]
+            if b"".join(x) != raw or b"".join(y) != raw:
+                yield None
+            elif len(a) == 1 or len(b) == 1:
+                yield [len(a)], [len(b)], a, b
+            else:
+                yield *cuts(list(map(len, x)), list(map(len, y))), a, b
+
+
+def cuts(x: list[int], y: list[int]) -> tuple[list[int], list[int]]:
+    """How many tokens of these lengths each group has, of both; groups end where tokens of both end."""
+    many_a, many_b = [], []
+    i = j = first_a = first_b = end_a = end_b = 0
+    while i < len(x):
+        end_a, i = end_a + x[i], i + 1
+        while end_b < end_a:
+            end_b, j = end_b + y[j], j + 1
+        if end_a == end_b:
+            many_a.append(i - first_a)
+            many_b.append(j - first_b)
+            first_a, first_b = i, j
+    return many_a, many_b
 
 
 def _byte_of(alphabet: list[str]) -> dict[str, int]:
@@ -140,21 +157,32 @@ def pair(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
 
 
-def _chunks(docs: DataFrame, path_a: str, path_b: str, chunk_chars: int) -> DataFrame:
-    """Rows of documents (places in their chunk's dictionary) and of dictionaries (segments)."""
+def _chunks(docs: DataFrame, path_a: str, path_b: str, buckets: int, chunk_chars: int) -> DataFrame:
+    """Rows of documents (bucket -1: places in their chunk's dictionary) and of dictionaries (a bucket's segments and their places)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments = pair(path_a, path_b).segments
         chunk = TaskContext.get().partitionId() << 32
         known: dict[str, int] = {}
-        ids, places, chars = [], [], 0
-
-        def batches_of() -> Iterator[pa.RecordBatch]:
-            for m, cols in ((len(ids), (ids, places, None)), (len(known), (None, None, list(known)))):
-                for k in range(0, m, 1 << 14):
-                    to = min(m, k + (1 << 14))
-                    some = [pa.array(c[k:to], t) if c is not None else pa.nulls(to - k, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.string()), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(to - k, chunk, np.int64)), pa.array(np.arange(k, to, dtype=np.int32)), *some], ["chunk", "row", "doc_id", "places", "segment"])
+        ids, places, chars, held = [], [], 0, 0
+
+        def row(bucket: int, ids_: list | None, data: bytes) -> pa.RecordBatch:
+            cols = [pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), pa.array([ids_], pa.list_(pa.int64())), pa.array([data], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, ["chunk", "bucket", "ids", "data"])
+
+        def documents() -> pa.RecordBatch:
+            return row(-1, ids, packed(list(map(len, places)), np.concatenate([*places, np.zeros(0, np.uint32)])))
+
+        def dictionary() -> Iterator[pa.RecordBatch]:
+            words = [s.encode() for s in known]
+            of = np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % buckets
+            order = np.argsort(of, kind="stable")
+            edges = np.flatnonzero(np.concatenate([[True], np.diff(of[order]) != 0, [True]])) if len(order) else []
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                mine = order[i:j]
+                parts = [words[k] for k in mine.tolist()]
+                steps = np.diff(mine, prepend=0)  # ascending
+                yield row(int(of[mine[0]]), None, packed(steps, list(map(len, parts)), np.frombuffer(b"".join(parts), np.uint8)))
 
         for batch in slices(batches):
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -163,92 +191,189 @@ def _chunks(docs: DataFrame, path_a: str, path_b: str, chunk_chars: int) -> Data
                 for s in set(found):
                     known.setdefault(s, len(known))
                 ids.append(i)
-                places.append(np.fromiter(map(known.__getitem__, found), "<i4", len(found)).tobytes())
-                chars += len(text)
-                if chars >= chunk_chars or len(known) >= CHUNK_SEGMENTS:
-                    yield from batches_of()
-                    known.clear()
-                    ids.clear()
-                    places.clear()
-                    chars, chunk = 0, chunk + 1
-        yield from batches_of()
+                places.append(np.fromiter(map(known.__getitem__, found), np.uint32, len(found)))
+                chars, held = chars + len(text), held + len(found)
+                full = chars >= chunk_chars or len(known) >= CHUNK_SEGMENTS
+                if held >= BATCH_PLACES or full:
+                    yield documents()
+                    ids, places, held = [], [], 0
+                if full:
+                    yield from dictionary()
+                    known, chars, chunk = {}, 0, chunk + 1
+        if ids:
+            yield documents()
+        yield from dictionary()
 
     return with_id_and_text(docs).mapInArrow(run, CHUNKS)
 
 
-def _aligned(segments: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, seg = pair(path_a, path_b), TaskContext.get().partitionId() << 40
-        kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        for batch in slices(batches, 4096):
-            cols = zip(*both.aligned(batch.column(0).to_pylist()), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(seg, seg + batch.num_rows)), batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names)
-            seg += batch.num_rows
-
-    names = [c.split()[0] for c in SEGMENTS.split(", ")]
-    return segments.mapInArrow(run, SEGMENTS)
+def _aligned(words: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """Alignments of every chunk's segments; rows come by bucket, and a bucket's distinct segments are aligned once."""
 
-
-def _in_order(t: pa.Table) -> pa.Table:
-    """Sorted by row; rows count from 0 without a gap."""
-    return t.take(pa.array(np.argsort(t["row"].to_numpy(), kind="stable")))
-
-
-def _places(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(places of all documents, offsets of each)."""
-    raws = docs["places"].to_pylist()
-    return np.frombuffer(b"".join(raws), "<i4"), np.concatenate([[0], np.cumsum([len(r) // 4 for r in raws])]).astype(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = pair(path_a, path_b)
+        bucket, known = -1, {}
+        for batch in batches:
+            out = []
+            for b, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                if b != bucket:
+                    bucket, known = b, {}
+                steps, sizes, raw = unpacked(data)
+                raw, ends = raw.astype(np.uint8).tobytes(), np.cumsum(sizes).tolist()
+                words = [raw[i:j].decode() for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+                new = [w for w in words if w not in known]
+                known.update(zip(new, both.aligned(new), strict=True))
+                n, many_a, many_b, ids_a, ids_b = [], [], [], [], []
+                for w in words:
+                    if (found := known[w]) is None:
+                        n.append(0)
+                        continue
+                    x, y, a, b_ = found
+                    n.append(len(x))
+                    many_a += x
+                    many_b += y
+                    ids_a += a
+                    ids_b += b_
+                out.append(packed(steps, n, many_a, many_b, ids_a, ids_b))
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(out, pa.binary())], ["chunk", "data"])
+
+    return words.mapInArrow(run, REPLIES)
+
+
+class _Words(NamedTuple):
+    """A chunk's segments in order of their places; groups, ids and links of all of them one after the other."""
+
+    groups: np.ndarray  # each segment's first group; one more at the end
+    a: np.ndarray  # each group's first id
+    b: np.ndarray
+    ids_a: np.ndarray
+    ids_b: np.ndarray
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def _gathered(starts: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, places) of the items of some rows."""
+    n = starts[some + 1] - starts[some]
+    return n, np.repeat(starts[some] - _starts(n)[:-1], n) + np.arange(n.sum())
+
+
+def _words(replies: list[bytes]) -> _Words:
+    """The replies of all buckets, put in order."""
+    parts = [unpacked(r) for r in replies]
+    joined = [np.concatenate([*x, np.zeros(0, np.int64)]) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 6
+    rows = np.concatenate([*(np.cumsum(p[0]) for p in parts), np.zeros(0, np.int64)])
+    _, n, many_a, many_b, ids_a, ids_b = joined
+    order = np.argsort(rows, kind="stable")
+    groups, a, b = _starts(n), _starts(many_a), _starts(many_b)
+    n, g = _gathered(groups, order)
+    na, at_a = _gathered(a, g)
+    nb, at_b = _gathered(b, g)
+    return _Words(_starts(n), _starts(na), _starts(nb), ids_a[at_a], ids_b[at_b])
+
+
+def _links(w: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, pair, times): how often each segment links a pair (a_id << 32 | b_id), the segments in order."""
+    na, nb = np.diff(w.a), np.diff(w.b)
+    word = np.repeat(np.arange(len(w.groups) - 1), np.diff(w.groups))
+    small = np.flatnonzero(na * nb <= LARGE_GROUP)
+    n = (na * nb)[small]
+    g = np.repeat(small, n)
+    k = np.arange(n.sum()) - np.repeat(_starts(n)[:-1], n)
+    out = [(word[g], w.ids_a[w.a[g] + k // nb[g]] << 32 | w.ids_b[w.b[g] + k % nb[g]], np.ones(len(g), np.int64))]
+    for g in np.flatnonzero(na * nb > LARGE_GROUP).tolist():
+        x, m = np.unique(w.ids_a[w.a[g] : w.a[g + 1]], return_counts=True)
+        y, n = np.unique(w.ids_b[w.b[g] : w.b[g + 1]], return_counts=True)
+        out.append((np.full(len(x) * len(y), word[g]), np.repeat(x << 32, len(y)) | np.tile(y, len(x)), np.repeat(m, len(y)) * np.tile(n, len(x))))
+    word, code, times = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.lexsort((code, word))
+    word, code, times = word[order], code[order], times[order]
+    new = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (code[1:] != code[:-1])])) if len(word) else np.zeros(0, np.int64)
+    return word[new], code[new], np.add.reduceat(times, new) if len(new) else times
+
+
+def _texts(w: _Words) -> list[str]:
+    """Each segment's groups, as ``a1,a2|b1;a3|b2``."""
+    a, b = list(map(str, w.ids_a.tolist())), list(map(str, w.ids_b.tolist()))
+    x, y = w.a.tolist(), w.b.tolist()
+    groups = [f"{a[i]}|{b[k]}" if j - i == 1 == m - k else f"{','.join(a[i:j])}|{','.join(b[k:m])}" for i, j, k, m in zip(x, x[1:], y, y[1:], strict=False)]
+    at = w.groups.tolist()
+    return [groups[i] if j - i == 1 else ";".join(groups[i:j]) for i, j in zip(at, at[1:], strict=False)]
 
 
 def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    total = _starts(values)
     return total[at[1:]] - total[at[:-1]]
 
 
-def _pair_counts(docs: pa.Table, words: pa.Table) -> pa.Table:
-    """(pair, docs) of a chunk: in how many documents a pair is linked."""
-    words = _in_order(words)
-    ok = words["ok"].to_numpy()
-    lists = words["pairs"].combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    first, codes = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
-    pairs, local = np.unique(codes[first[0] : first[-1]], return_inverse=True) if len(words) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    first = first - first[0] if len(first) else first
-    places, at = _places(docs)
-    n = np.zeros(len(pairs), np.int64)
-    good = _sums(~ok[places], at) == 0 if len(places) else np.zeros(len(at) - 1, bool)
-    begin = 0
-    while begin < len(at) - 1:
-        end = max(begin + 1, int(np.searchsorted(at, at[begin] + SLICE, "right")) - 1)
-        doc = np.repeat(np.arange(end - begin), np.diff(at[begin : end + 1]))
-        some = places[at[begin] : at[end]]
-        keep = good[begin:end][doc]
-        held = np.unique(doc[keep] * len(words) + some[keep])
-        doc, word = held // max(1, len(words)), held % max(1, len(words))
-        many = first[word + 1] - first[word]
-        where = np.repeat(first[word] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(word) else np.zeros(0, np.int64)
-        linked = np.unique(np.repeat(doc, many) * len(pairs) + local[where])
-        n += np.bincount(linked % max(1, len(pairs)), minlength=len(pairs)) if len(pairs) else 0
-        begin = end
-    return pa.table({"pair": pa.array(pairs[n > 0], pa.int64()), "docs": pa.array(n[n > 0], pa.int64())})
+COMPOSED = "chunk long, pair long, nth int, docs long, ids array<long>, numbers binary, digests array<string>, links binary, groups array<string>"
 
 
-_NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+def _composed(with_groups: bool):
+    """Rows of a chunk's pairs (in how many of its documents) and of its documents, with their links by the pairs' numbers."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()), pa.binary(), pa.list_(pa.string())]
+    names = [c.split()[0] for c in COMPOSED.split(", ")]
+
+    def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        if not len(docs):
+            return pa.table([pa.array([], k) for k in kinds], names)
+        chunk = docs["chunk"][0].as_py()
+        words = _words(replies["data"].to_pylist())
+        ok = np.diff(words.groups) > 0
+        texts = _texts(words)
+        per_group = np.diff(words.a) * np.diff(words.b)
+        numbers = [words.a[words.groups[1:]] - words.a[words.groups[:-1]], words.b[words.groups[1:]] - words.b[words.groups[:-1]], np.diff(words.groups), _sums(per_group, words.groups)]
+        word, code, times = _links(words)
+        first = np.searchsorted(word, np.arange(len(ok) + 1))
+        pairs, local = np.unique(code, return_inverse=True)
+        docs_of, rows = np.zeros(len(pairs), np.int64), []
+        for ids, data in zip(docs["ids"].to_pylist(), docs["data"].to_pylist(), strict=True):
+            sizes, places = unpacked(data)
+            at = _starts(sizes)
+            good = (_sums(~ok[places], at) == 0) & (sizes > 0) if len(places) else sizes > 0
+            each = [np.where(good, _sums(x[places], at), 0) for x in numbers]
+            every = places.tolist()
+            groups = [";".join([texts[k] for k in every[i:j]]) if g else "" for g, i, j in zip(good.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            keep = good[doc]
+            held, often = np.unique(doc[keep] * max(1, len(ok)) + places[keep], return_counts=True)
+            doc, some = held // max(1, len(ok)), held % max(1, len(ok))
+            n, where = _gathered(first, some)
+            key, back = np.unique(np.repeat(doc, n) * max(1, len(pairs)) + local[where], return_inverse=True)
+            linked = np.bincount(back, np.repeat(often, n) * times[where], len(key)).astype(np.int64)
+            doc, nth = key // max(1, len(pairs)), key % max(1, len(pairs))
+            docs_of += np.bincount(nth, minlength=len(pairs))
+            links = packed(np.bincount(doc, minlength=len(sizes)), nth, linked)
+            rows.append((ids, np.stack(each).astype("<i8").tobytes(), digests, links, groups if with_groups else None))
+        cols = list(zip(*rows, strict=True))
+        n, m = len(pairs), len(rows)
+        made = [np.full(n + m, chunk), [*pairs.tolist(), *[None] * m], [*range(n), *[None] * m], [*docs_of.tolist(), *[None] * m], *([None] * n + list(c) for c in cols)]
+        return pa.table([pa.array(c, k) for c, k in zip(made, kinds, strict=True)], names)
+
+    return run
 
 
-def _composed(with_groups: bool):
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        words = _in_order(words)
-        places, at = _places(docs)
-        bad = ~words["ok"].to_numpy()
-        good = (_sums(bad[places], at) == 0) & (np.diff(at) > 0) if len(places) else np.zeros(len(at) - 1, bool)
-        cols = {c: np.where(good, _sums(words[c].to_numpy()[places], at), 0) if len(places) else np.zeros(len(good), np.int64) for c in _NUMBERS}
-        texts, every = words["groups"].to_pylist(), places.tolist()
-        groups = [";".join([texts[i] for i in every[a:b]]) if g else "" for g, a, b in zip(good.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        out = {"doc_id": docs["doc_id"], **cols, "groups_sha256": pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups], pa.string())}
-        if with_groups:
-            out["groups"] = pa.array(groups, pa.string())
-        return pa.table(out)
+def _counted(with_groups: bool):
+    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
+        nth, of, best = (counts[c].to_numpy() for c in ("nth", "docs", "best"))
+        size = int(nth.max()) + 1 if len(nth) else 0
+        count, is_best = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        count[nth], is_best[nth] = of, best.astype(np.int64)
+        out = {c: [] for c in ("doc_id", *_NUMBERS, "groups_sha256", *["groups"] * with_groups)}
+        for row in docs.select(["ids", "numbers", "digests", "links", "groups"]).to_pylist():
+            n, k, times = unpacked(row["links"])
+            at = _starts(n)
+            numbers = [*np.frombuffer(row["numbers"], "<i8").reshape(4, -1), _sums(is_best[k] * times, at), _sums(count[k] * times, at)]
+            out["doc_id"] += row["ids"]
+            for c, x in zip(_NUMBERS, numbers, strict=True):
+                out[c] += x.tolist()
+            out["groups_sha256"] += row["digests"]
+            if with_groups:
+                out["groups"] += row["groups"]
+        return pa.table({c: pa.array(x, pa.string() if c.startswith("groups") else pa.int64()) for c, x in out.items()})
 
     return run
 
@@ -256,26 +381,24 @@ def _composed(with_groups: bool):
 class Alignment(NamedTuple):
     documents: DataFrame  # doc_id, counts, groups_sha256[, groups]
     pairs: DataFrame  # pair (a_id << 32 | b_id), docs, best
-    segments: DataFrame  # each distinct segment with its groups and pairs
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, with_groups: bool = False, chunk_chars: int = CHUNK_CHARS) -> Alignment:
-    chunks = written(_chunks(docs, path_a, path_b, chunk_chars), "chunks")
-    texts = chunks.where("segment is null").select("chunk", "doc_id", "places")
-    words = chunks.where("segment is not null").select(F.col("chunk").alias("chunk"), "row", "segment")  # a column of its own, for the cogroup
-    segments = written(_aligned(words.select("segment").distinct(), path_a, path_b), "segments")
-    held = words.join(segments.select("segment", "ok", "pairs"), "segment").select("chunk", "row", "ok", "pairs")
-    counted = texts.groupBy("chunk").cogroup(held.groupBy("chunk")).applyInArrow(_pair_counts, "pair long, docs long")
-    counts = written(counted.groupBy("pair").agg(F.sum("docs").alias("docs")), "pairs")
-    a_id = F.shiftright("pair", 32).alias("a_id")
-    top = counts.groupBy(a_id).agg(F.max("docs").alias("top"))
+    n = shuffle_partitions(docs.sparkSession)
+    chunks = written(_chunks(docs, path_a, path_b, n * BUCKETS, chunk_chars), "chunks")
+    texts = chunks.where("bucket < 0").select("chunk", "ids", "data")
+    words = chunks.where("bucket >= 0").select(F.col("chunk").alias("chunk"), "bucket", "data")  # columns of its own, for the cogroup
+    replies = _aligned(words.repartition(n, "bucket").sortWithinPartitions("bucket", "chunk"), path_a, path_b)
+    composed = written(texts.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_composed(with_groups), COMPOSED), "composed")
+    held = composed.where("docs > 0").select(F.col("chunk").alias("chunk"), "pair", "nth", F.col("docs").alias("n"))
+    counts = written(held.groupBy("pair").agg(F.sum("n").alias("docs")), "pairs")
+    a_id = F.shiftright("pair", 32)
+    top = counts.groupBy(a_id.alias("a_id")).agg(F.max("docs").alias("top"))
     pairs = counts.withColumn("a_id", a_id).join(top, "a_id").select("pair", "docs", (F.col("docs") == F.col("top")).alias("best"))
-    links = segments.select("seg", F.explode(F.arrays_zip("pairs", "times")).alias("l")).select("seg", F.col("l.pairs").alias("pair"), F.col("l.times").alias("times"))
-    sums = links.join(pairs, "pair").groupBy("seg").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("docs") * F.col("times")).alias("count_sum"))
-    scored = segments.drop("pairs", "times").join(sums, "seg", "left").na.fill(0, ["n_best", "count_sum"])
-    full = words.join(scored, "segment").select("chunk", "row", "ok", "groups", *_NUMBERS)
+    told = held.join(pairs, "pair").select("chunk", "nth", "docs", "best")
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in _NUMBERS) + ", groups_sha256 string" + ", groups string" * with_groups
-    return Alignment(texts.groupBy("chunk").cogroup(full.groupBy("chunk")).applyInArrow(_composed(with_groups), schema), pairs, segments)
+    documents = composed.where("pair is null").select("chunk", "ids", "numbers", "digests", "links", "groups")
+    return Alignment(documents.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_counted(with_groups), schema), pairs)
 
 
 def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -52,6 +53,11 @@ def brute(rows):
     return sorted(out, key=str), held
 
 
+def test_packed():
+    for arrays in ([[]], [[1, 2, 2**32 - 1], [], [0]], [np.arange(5000)]):
+        assert [x.tolist() for x in A.unpacked(A.packed(*arrays))] == [list(map(int, x)) for x in arrays]
+
+
 def test_bytes_of_tokens():
     a, p = Tokenizer.from_file(PATH_A), A.pair(PATH_A, PATH_B)
     for i in range(0, 50256, 97):
@@ -94,6 +100,20 @@ def test_cases(spark):
     assert A.align(docs.limit(0), PATH_A, PATH_B).documents.collect() == []
 
 
+def test_large_groups():
+    """Long runs without a common end have one group, whose links are counted by id."""
+    w = A._Words(np.array([0, 1, 3]), np.array([0, 300, 301, 303]), np.array([0, 200, 201, 202]), np.array([5, 6, 7] * 101), np.arange(202) % 3 + 1)
+    links = Counter()
+    for word, groups in ((0, (0,)), (1, (1, 2))):
+        for g in groups:
+            for x in w.ids_a[w.a[g] : w.a[g + 1]].tolist():
+                for y in w.ids_b[w.b[g] : w.b[g + 1]].tolist():
+                    links[word, x << 32 | y] += 1
+    word, code, times = A._links(w)
+    assert {(i, c): t for i, c, t in zip(word.tolist(), code.tolist(), times.tolist(), strict=True)} == links
+    assert A.cuts([1, 2, 3], [3, 1, 2]) == ([2, 1], [1, 2]) and A.cuts([4], [1, 3]) == ([1], [2])
+
+
 def test_documents(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted([tuple(r) for r in A.op11_cross_tokenizer_alignment(spark, sf).collect()], key=str) == brute(rows)[0]
