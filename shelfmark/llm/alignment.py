@@ -44,7 +44,7 @@ BLANK = "▁"
 SEGMENT = re.compile(f"[{WS}]*[^{WS}]+|[{WS}]+")
 _IS_WS = re.compile(f"[{WS}]").fullmatch
 CHUNK_CHARS, CHUNK_SEGMENTS = 1 << 24, 1 << 18  # a chunk ends with the document that reaches either
-BATCH_PLACES = 1 << 20  # segments of the documents of one row
+BATCH_PLACES = 1 << 18  # segments of the documents of one row
 BUCKETS = 16  # of segments, for each shuffle partition
 LARGE_GROUP = 1 << 12  # links of a group that are counted by id rather than one by one
 CHUNKS = "chunk long, bucket int, ids array<long>, data binary"
