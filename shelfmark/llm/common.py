@@ -54,6 +54,18 @@ def with_id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def quoted(columns: list[str]) -> list[str]:
+    """Names as they are, with dots and all."""
+    return ["`" + c.replace("`", "``") + "`" for c in columns]
+
+
+def whole_row(df: DataFrame):
+    """All columns of a table as one struct, whatever their names, so that none can clash with an operator's own."""
+    from pyspark.sql import functions as F
+
+    return F.struct(*quoted(df.columns))
+
+
 def slices(batches, rows: int = 1000):
     """Arrow batches in slices of a bounded number of rows, so that Python objects of few rows live at a time."""
     for batch in batches:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, with_id_and_text, written
+from .common import slices, table, whole_row, with_id_and_text, written
 
 MIN_MATCH, COVERAGE = 5, 0.8
 BLOCK_WORDS, BLOCK_CHARS = 500_000, 16 << 20
@@ -143,7 +143,7 @@ class Block:
 def _few(benchmark: DataFrame, block_words: int) -> list[tuple] | None:
     """The benchmark's items if they are within the bounds for going to every task."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    words, chars = items.agg(F.sum(F.size(F.split("text", r"\W+"))), F.sum(F.length("text") + 1)).first()
+    words, chars = items.agg(F.sum(F.size(F.split("text", r"(?U)\W+"))), F.sum(F.length("text") + 1)).first()
     return [(r.item_id, r.text) for r in items.collect()] if (words or 0) <= block_words and (chars or 0) <= BLOCK_CHARS else None
 
 
@@ -224,8 +224,11 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, width: int = MIN_MATCH,
     items = _few(benchmark, block_words)
     if items is None:
         found = _joined(_by_text(docs, "doc_id")[1], _by_text(benchmark, "item_id")[1], width, coverage).select("k1", "k2").distinct()
-        text = F.coalesce(F.col("text"), F.lit(""))
-        return docs.join(found, (F.xxhash64(text) == F.col("k1")) & (F.xxhash64(F.lit(1), text) == F.col("k2")), "left_anti")
+        rows = docs.select(whole_row(docs).alias("row"))  # so that no name can clash
+        own = lambda c: F.col("row").getField(c)
+        text = F.coalesce(own("text"), F.lit(""))
+        kept = rows.join(found, (F.xxhash64(text) == F.col("k1")) & (F.xxhash64(F.lit(1), text) == F.col("k2")), "left_anti")
+        return kept.select(*[own(c).alias(c) for c in docs.columns])
     shared, place = docs.sparkSession.sparkContext.broadcast(items), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,8 @@ and a single row for it on the other, so a hot line can be split; sketches combi
 
 Cases: a null text counts as empty; blank lines are kept and never counted; a null site counts for
 no site; rows with a null doc_id lose a line unless no row with an id holds it; repeated rows are
-treated alike; an empty table gives an empty result; other columns pass through unchanged.
+treated alike; an empty table gives an empty result; other columns pass through unchanged, whatever their names (but
+for the two counts, where these are asked for).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, whole_row, written
 
 MIN_SITES = 10
 SKETCH_LOG = 12  # 4096 buckets: a relative standard error of 1.04 / 64
@@ -51,18 +52,21 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return often.join(clear.union(exact), ["h1", "h2"])
 
 
-def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """The documents with boilerplate lines taken out of ``text``; adds n_lines and n_removed (replaced if there)."""
-    docs = docs.drop("n_lines", "n_removed")
+def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool = True) -> DataFrame:
+    """The documents with boilerplate lines taken out of ``text``; with ``counts``, n_lines and n_removed are added (replaced if there)."""
     hits = _lines(docs).join(boilerplate(docs, min_sites), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    gone = hits.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("pos").alias("_gone"))
-    text = F.coalesce("text", F.lit(""))
-    all_ = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
+    gone = hits.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone"))
+    # a document's own columns lie in one, so that none of their names can clash with these
+    rows = docs.select(whole_row(docs).alias("row"))
+    own = lambda c: F.col("row").getField(c)
+    text = F.coalesce(own("text"), F.lit(""))
+    all_ = rows.join(gone, own("doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("text_hash")), "left")
     lines = F.split(text, "\n", -1)
-    kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")))
+    kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")))
     # the line list is made once, as an argument, and picked from by place
-    clean = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.element_at(F.transform(F.array(lines), lambda x: F.transform(kept, lambda i: F.get(x, i))), 1), "\n"))
-    return all_.select(*[clean.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.size(lines).alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
+    clean = F.when(F.col("gone").isNull(), own("text")).otherwise(F.array_join(F.element_at(F.transform(F.array(lines), lambda x: F.transform(kept, lambda i: F.get(x, i))), 1), "\n"))
+    new = {"n_lines": F.size(lines), "n_removed": F.coalesce(F.size("gone"), F.lit(0))} if counts else {}
+    return all_.select(*[(clean if c == "text" else own(c)).alias(c) for c in docs.columns if c not in new], *[v.alias(c) for c, v in new.items()])
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@ those with the smallest hash of their id, whatever the input's size. Everything
 rows. A scored row needs no shuffle.
 
 Cases: a null text counts as empty; an empty text is scored like any other (it has the structure
-inputs only); repeated labels of a document all count, null labels never; without any usable label
-every score is 0.5; null ids are scored and are held out only by their remainder (never); an empty
+inputs only); of several labels of an id the majority counts, a tie and null labels teach nothing; an
+id with several texts teaches the least of them; without any usable label every score is 0.5; null ids are scored and are held out only by their remainder (never); an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -136,11 +136,11 @@ class Machine:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, quality, text) of at most ``rows`` labelled documents that are not held out."""
+    """(doc_id, quality, text) of at most ``rows`` labelled documents that are not held out, one row an id."""
     some = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     some = some.where("doc_id is not null and quality in (0, 1)").where(_crc("doc_id") != 2)
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
-    some = some.dropDuplicates(["doc_id"])
+    some = some.groupBy("doc_id").agg(F.avg("quality").alias("mean")).where("mean <> 0.5").select("doc_id", F.round("mean").cast("int").alias("quality"))
+    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     labelled = with_id_and_text(docs).join(F.broadcast(some), "doc_id")  # at most ``rows`` ids
     return labelled.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))  # one row an id
 

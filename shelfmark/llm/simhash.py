@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import shuffle_partitions, slices, table, with_id_and_text, written
+from .common import quoted, shuffle_partitions, slices, table, with_id_and_text, written
 from .components import components
 
 WORDS, BUDGET = 4, 4
@@ -223,7 +223,7 @@ def one_of_each_group(docs: DataFrame, words: int = WORDS, budget: int = BUDGET)
     fps = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(numbers["fp"]).alias("fp"), F.col(numbers["row"]).alias("row"))
     grouped = fps.join(classes(fps, budget).select("fp", "label"), "fp")
     first = grouped.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
-    return rows.join(first.select(F.col("first.row").alias(numbers["row"])), numbers["row"], "left_semi").select(docs.columns)
+    return rows.join(first.select(F.col("first.row").alias(numbers["row"])), numbers["row"], "left_semi").select(quoted(docs.columns))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

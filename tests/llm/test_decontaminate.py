@@ -99,6 +99,21 @@ def test_rows_without_leaks(spark):
         assert D.without_leaks(d, b.limit(0), block_words=words).count() == 6
 
 
+def test_names_that_clash(spark):
+    names = ["k1", "k2", "g1", "row", "item_id", "tiles"]
+    docs = spark.createDataFrame([(1, "one two three four five six seven", *"klmnop"), (2, "nothing of that", *"klmnop")], f"doc_id long, text string, {', '.join(f'`{n}` string' for n in names)}")
+    items = spark.createDataFrame([(1, "one two three four five six seven", 5)], "item_id long, text string, k1 int")
+    for words in (0, 10**6):
+        assert [tuple(r) for r in D.without_leaks(docs, items, block_words=words).collect()] == [(2, "nothing of that", *"klmnop")]
+        assert [(r.doc_id, r.item_id) for r in D.leaks(docs, items, block_words=words).collect()] == [(1, 1)]
+
+
+def test_words_of_any_script_count(spark):
+    """Words are counted in every script, so a benchmark in Cyrillic meets the bound like any other."""
+    items = spark.createDataFrame([(1, "слово " * 600)], "item_id long, text string")
+    assert D._few(items, 500) is None and len(D._few(items, 700)) == 1
+
+
 def test_documents(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]

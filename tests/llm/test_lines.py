@@ -39,6 +39,15 @@ def test_cases(spark):
     assert L.without_boilerplate(docs.limit(0)).count() == 0
 
 
+def test_names_that_clash(spark):
+    names = ["h1", "h2", "pos", "keeper", "gone", "_id", "_hash", "_gone", "text_hash", "row", "site", "line", "n_lines", "n_removed", "a.b"]
+    docs = spark.createDataFrame([(i, f"common\nown {i}", f"s{i}", *range(len(names))) for i in range(5)], f"doc_id long, text string, source string, {', '.join(f'`{n}` long' for n in names)}")
+    got = L.without_boilerplate(docs, 3, counts=False)
+    assert got.columns == docs.columns
+    assert sorted(tuple(r) for r in got.collect()) == [(i, f"own {i}" if i else "common\nown 0", f"s{i}", *range(len(names))) for i in range(5)]
+    assert {(r.n_lines, r.n_removed) for r in L.without_boilerplate(docs, 3).collect()} == {(2, 0), (2, 1)}
+
+
 def test_many_sites_near_the_threshold(spark):
     rows = [(100 * k + i, f"line {k}", f"s{i % k}") for k in range(30, 60) for i in range(70)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")

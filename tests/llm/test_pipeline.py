@@ -67,3 +67,16 @@ def test_one_bad_row_takes_no_other_with_it(spark, sf):
     item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
     rows = [(None, item, "en", "s", 1), (None, "clean words", "en", "s", 1), (7, item, "en", "s", 1), (7, "clean words too", "en", "s", 1)]
     assert sorted(r.text for r in C.decontaminated(spark, spark.createDataFrame(rows, SCHEMA), sf).collect()) == ["clean words", "clean words too"]
+
+
+def test_columns_of_any_name_pass_through(spark, sf, tmp_path):
+    """All stages but the last return every column of docs as it was, whatever it is called."""
+    names = ["n_lines", "n_removed", "_id", "_hash", "_gone", "k1", "fp", "row", "doc", "score"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    docs = docs.select("*", *[(docs.doc_id * (k + 2)).alias(n) for k, n in enumerate(names)])
+    for k, (_, f) in enumerate(C.STAGES[:4]):
+        f(spark, docs, sf).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        assert set(docs.columns) == {"doc_id", "text", "lang", "source", "n_chars", *names}
+        got = docs.collect()
+        assert got and all(r[n] == r.doc_id * (j + 2) for r in got for j, n in enumerate(names))

@@ -49,3 +49,13 @@ def test_only_learns_from_rows_that_are_not_held_out(spark, sf):
     got = Q.training_rows(docs, labels).collect()
     assert got and all(zlib.crc32(str(r.doc_id).encode()) % 4 != 2 for r in got)
     assert Q.training_rows(docs, labels, 5).count() == 5
+
+
+def test_repeated_labels_and_texts(spark):
+    """The majority of an id's labels counts, ties teach nothing, and the bound is on ids."""
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2][:4]
+    a, b, c, d = ids
+    labels = spark.createDataFrame([(a, 1), (a, 0), (a, 1), (b, 0), (b, 1), (c, 0), (c, 0), (c, 1), (d, None)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(a, "x"), (a, "w"), (b, "tie"), (c, "y"), (d, "z")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in Q.training_rows(docs, labels).collect()) == [(a, 1, "w"), (c, 0, "y")]
+    assert Q.training_rows(docs, labels, 1).count() == 1
