@@ -144,6 +144,11 @@ def alnum(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9A-Za-z]", "")
 
 
+def worth_querying(key: Column) -> Column:
+    """Whether a name key says enough to look for: two Han or kana characters, or four ASCII letters."""
+    return (F.length(F.regexp_replace(key, HAN_KANA.replace("[", "[^", 1), "")) >= 2) | (F.length(F.regexp_replace(key, "[^A-Za-z]", "")) >= 4)
+
+
 def bigrams(c: Column) -> Column:
     """Character bigrams with repeats; a text of one character is its own only gram."""
     n = F.length(c)

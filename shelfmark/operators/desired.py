@@ -69,16 +69,19 @@ def gathered(selected: DataFrame, members: DataFrame, key: str) -> DataFrame:
 def aligned(paths: DataFrame, dirs: DataFrame, path: str = "path") -> DataFrame:
     """Paths with (aligned): directories spelled as on a target that ignores case, else as in the first path that names them.
 
-    ``dirs`` (path): the directories there; of two that differ in case only, the greatest speaks.
-    Every part of a path is spelled by itself, for each distinct directory once. A null path stays null.
+    ``dirs`` (path): the directories there, each a whole spelling of its path; of two that differ in
+    case only, the greatest speaks, and it replaces all parts up to its own. Parts below the last
+    recorded one are spelled as in the first path, in the order of paths, that has them. Every
+    distinct directory is spelled once. A null path stays null; repeated rows are kept.
     """
     own = paths.select(F.col(path).alias("_p"), T.dir_of(F.col(path)).alias("_d")).where("_d <> ''").groupBy("_d").agg(F.min("_p").alias("_p"))
     each = own.select("_d", "_p", F.posexplode(F.split("_d", "/")).alias("_k", "_s"))
     each = each.withColumn("_f", T.fold(F.array_join(F.slice(F.split("_d", "/"), F.lit(1), F.col("_k") + 1), "/")))
-    there = dirs.where(F.col("path").isNotNull()).groupBy(T.fold(F.col("path")).alias("_f")).agg(F.max(T.base_name(F.col("path"))).alias("_t"))
-    first = each.groupBy("_f").agg(F.min(F.struct("_p", "_s")).alias("_m")).join(there, "_f", "left").select("_f", F.coalesce("_t", "_m._s").alias("_c"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("_k", "_c"))), lambda x: x["_c"])
-    spelled = each.join(first, "_f").groupBy("_d").agg(F.array_join(parts, "/").alias("_a"))
+    there = dirs.where(F.col("path").isNotNull()).groupBy(T.fold(F.col("path")).alias("_f")).agg(F.max("path").alias("_t"))
+    first = each.groupBy("_f").agg(F.min(F.struct("_p", "_s")).alias("_m")).join(there, "_f", "left").select("_f", "_t", F.col("_m._s").alias("_c"))
+    parts = F.array_sort(F.collect_list(F.struct("_k", "_t", "_c")))  # as many as a path has parts
+    below = lambda up, x: F.coalesce(x["_t"], F.concat(up, F.when(up == "", "").otherwise("/"), x["_c"]))
+    spelled = each.join(first, "_f").groupBy("_d").agg(F.aggregate(parts, F.lit(""), below).alias("_a"))
     both = paths.withColumn("_d", T.dir_of(F.col(path))).join(spelled, "_d", "left")
     return both.select(*paths.columns, F.coalesce(F.concat("_a", F.lit("/"), T.base_name(F.col(path))), path).alias("aligned"))
 

@@ -53,16 +53,26 @@ def content_prints(units: DataFrame, key: str, order: str, value: str) -> DataFr
 
 
 def stashed(conclusions: DataFrame, keys: DataFrame, key: str, batch: int) -> DataFrame:
-    """Before-images of a batch's keys: their rows with (batch, had); a key that has no row yet gets one of nulls."""
-    had = conclusions.withColumn("had", F.lit(True))
-    return keys.select(key).distinct().join(had, key, "left").withColumn("had", F.coalesce("had", F.lit(False))).withColumn("batch", F.lit(batch))
+    """(key, image, batch): before-images of a batch's keys, each a struct of the whole row, so none of its names can clash.
+
+    A key without a row yet gets one null image, a key with several rows one image for each; null
+    keys have none.
+    """
+    images = conclusions.select(F.col(key).alias("_key"), F.struct(*conclusions.columns).alias("image"))
+    one = keys.select(F.col(key).alias("_key")).where("_key is not null").distinct()
+    return one.join(images, "_key", "left").select(F.col("_key").alias("key"), "image", F.lit(batch).alias("batch"))
 
 
 def restored(conclusions: DataFrame, stash: DataFrame, existing: DataFrame, key: str, batch: int) -> DataFrame:
-    """Conclusions as before a batch: its keys get their before-images back where the item still exists, and lose what came since."""
-    images = stash.where(F.col("batch") == batch)
-    back = images.where("had").join(existing.select(key).distinct(), key, "left_semi").select(*conclusions.columns)
-    return conclusions.join(images.select(key).distinct(), key, "left_anti").unionByName(back)
+    """Conclusions as before a batch: its keys get their before-images back where the item still exists, and lose what came since.
+
+    A batch that was stashed more than once (a repeated run) gives its rows back once: its images are distinct rows.
+    """
+    images = stash.where(F.col("batch") == batch).select("key", "image").distinct()
+    there = existing.select(F.col(key).alias("key")).distinct()
+    back = images.where("image is not null").join(there, "key", "left_semi").select(*[F.col("image").getField(c).alias(c) for c in conclusions.columns])
+    mine = images.select(F.col("key").alias("_key")).distinct()
+    return conclusions.join(mine, F.col(key) == F.col("_key"), "left_anti").unionByName(back)
 
 
 def redone(log: DataFrame, undone: DataFrame, batch: int, as_batch: int) -> DataFrame:

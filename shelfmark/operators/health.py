@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import running
+
 
 def grouped(df: DataFrame, sets: list[list[str]], aggregates: dict[str, Column]) -> DataFrame:
     """Aggregates over several grouping sets in one pass; absent dimensions are null, ``level`` tells sets apart."""
@@ -34,11 +36,10 @@ def with_share(counted: DataFrame, measure: str, share: str = "share") -> DataFr
 
 
 def running_share(counted: DataFrame, measure: str, order: list[Column]) -> DataFrame:
-    """Cumulative share of groups in order: how much the first of them cover."""
-    by = Window.orderBy(*order)
+    """Cumulative share of groups in order (place, covered, share): how much the first of them cover."""
     total = counted.agg(F.sum(measure).alias("_total"))
-    out = counted.crossJoin(F.broadcast(total)).withColumn("place", F.row_number().over(by)).withColumn("covered", F.sum(measure).over(by.rowsBetween(Window.unboundedPreceding, 0)))  # one row
-    return out.withColumn("share", F.round(F.col("covered") / F.col("_total"), 6)).drop("_total")
+    out = running(counted, [], order, measure, "covered", "place").crossJoin(F.broadcast(total))  # one row
+    return out.withColumn("place", F.col("place").cast("int")).withColumn("share", F.round(F.col("covered") / F.col("_total"), 6)).drop("_total")
 
 
 def collisions(paths: DataFrame, path: str, folded: Column, size: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import alnum, bigrams, dice_of_grams
+from ..functions.text import alnum, bigrams, dice_of_grams, worth_querying
 
 
 def hash_lookup(items: DataFrame, entries: DataFrame, key: str, size: str) -> DataFrame:
@@ -38,45 +38,70 @@ def _numbered(key: Column) -> Column:
     return F.transform(grams, lambda g, i: F.struct(g.alias("gram"), F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda x: x == g)).alias("nth")))
 
 
-def _rarest(rows: DataFrame, counts: DataFrame, least: float) -> DataFrame:
-    """(id, key, same, gram, nth): each key's rarest bigrams, as many as leave too few others for a Dice of ``least``.
+def _rarest(keys: DataFrame, counts: DataFrame, least: float) -> DataFrame:
+    """(key, same, gram, nth): each key's rarest bigrams, as many as leave too few others for a Dice of ``least``.
 
     Two keys of that Dice share at least ``least`` / (2 - ``least``) of either's bigrams, so in any
     one order of all bigrams they share one of these.
     """
-    grams = rows.select("id", "key", F.explode(_numbered(F.col("key"))).alias("g")).select("id", "key", F.col("g.gram").alias("gram"), F.col("g.nth").alias("nth"))
-    lists = grams.join(counts, "gram").groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("n", "gram", "nth"))).alias("g"))  # as many as a name has letters
+    grams = keys.select("key", "same", F.explode(_numbered(F.col("key"))).alias("g")).select("key", "same", F.col("g.gram").alias("gram"), F.col("g.nth").alias("nth"))
+    lists = grams.join(counts, "gram").groupBy("key", "same").agg(F.sort_array(F.collect_list(F.struct("n", "gram", "nth"))).alias("g"))  # as many as a name has letters
     needed = F.size("g") - F.ceil(F.size("g") * (least / (2 - least)) - 1e-9).cast("int") + 1
-    return lists.select("id", "key", alnum(F.col("key")).alias("same"), F.explode(F.slice("g", F.lit(1), needed)).alias("g")).select("id", "key", "same", "g.gram", "g.nth")
+    return lists.select("key", "same", F.explode(F.slice("g", F.lit(1), needed)).alias("g")).select("key", "same", "g.gram", "g.nth")
+
+
+def similar_keys(queries: DataFrame, names: DataFrame, least: float) -> DataFrame:
+    """(query_key, name_key, score) of distinct keys whose ASCII letters and digits are the same and whose Dice reaches ``least``.
+
+    Keys that hold more than ASCII letters and digits are mixed. Two mixed keys meet where one of
+    their rarest bigrams and their ASCII letters are equal; a pure key meets the mixed ones whose ASCII
+    letters it is; two pure keys must be equal. Each is an equi join, and no pair is missed.
+    """
+    sides = []
+    for rows, name in ((queries, "query"), (names, "name")):
+        keys = rows.select(F.col(f"{name}_key").alias("key")).distinct().withColumn("same", alnum(F.col("key")))
+        sides.append((keys.where("same <> key"), keys.where("same = key")))
+    (q_mixed, q_pure), (n_mixed, n_pure) = sides
+    counts = q_mixed.union(n_mixed).select(F.explode(bigrams(F.col("key"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    named = lambda rows, side: rows.withColumnRenamed("key", f"{side}_key")
+    ratio = least / (2 - least)
+    lengths = (F.length("query_key") - 1 >= (F.length("name_key") - 1) * ratio - 1e-9) & (F.length("name_key") - 1 >= (F.length("query_key") - 1) * ratio - 1e-9)
+    met = named(_rarest(q_mixed, counts, least), "query").join(named(_rarest(n_mixed, counts, least), "name"), ["same", "gram", "nth"])
+    for q, n in ((q_mixed, n_pure), (q_pure, n_mixed), (q_pure, n_pure)):
+        met = met.select("query_key", "name_key").where(lengths).union(named(q, "query").join(named(n, "name"), "same").select("query_key", "name_key").where(lengths))
+    score = F.when(F.col("query_key") == F.col("name_key"), F.lit(1.0)).otherwise(dice_of_grams(bigrams(F.col("query_key")), bigrams(F.col("name_key"))))
+    return met.distinct().withColumn("score", score).where(F.col("score") >= least)
 
 
 def fuzzy_lookup(queries: DataFrame, names: DataFrame, least: float = 0.85, top: int = 3, condition: Column | None = None) -> DataFrame:
-    """(query_id, name_id, score, rank): up to ``top`` names by Dice of character bigrams.
+    """(query_id, name_id, score, rank): up to ``top`` name ids by Dice of character bigrams.
 
     ``queries`` has (query_id, query_key), ``names`` (name_id, name_key), keys as ``name_key`` makes
-    them. Letters and digits of ASCII must be the same in both keys, so a key of nothing else finds
-    its equals only, by an equi join. Other keys meet where their rarest bigrams and their ASCII
-    letters are equal: no pair that reaches ``least`` is missed, and a very common bigram joins only
-    where a key has no rarer ones. Lengths that can't reach it are sorted out before the score.
+    them; an id may have several keys, of which the best counts. Letters and digits of ASCII must be
+    the same in both keys. Keys that say too little find nothing: queries need two Han or kana
+    characters or four ASCII letters, names two characters.
+
+    Work is done for distinct keys: copies of a name neither meet nor are scored again. For each
+    name key its ``top`` smallest ids are enough, as they stand before all others that have it;
+    only with a ``condition`` on ids all of them are looked at.
 
-    Cases: null and empty keys find nothing; repeated ids and keys each give their pairs once; ties
-    are in the order of name_id.
+    Cases: null and empty keys and null ids find nothing; repeated ids and keys count once; ties are in
+    the order of name_id; other columns are ignored.
     """
-    q = queries.select(F.col("query_id").alias("id"), F.col("query_key").alias("key")).where("key <> ''")
-    n = names.select(F.col("name_id").alias("id"), F.col("name_key").alias("key")).where("key <> ''")
-    mixed = lambda rows: rows.where(alnum(F.col("key")) != F.col("key"))
-    counts = mixed(n).union(mixed(q)).select(F.explode(bigrams(F.col("key"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    named = lambda rows, side: rows.select(F.col("id").alias(f"{side}_id"), F.col("key").alias(f"{side}_key"), *[c for c in ("same", "gram", "nth") if c in rows.columns])
-    near = named(_rarest(mixed(q), counts, least), "query").join(named(_rarest(mixed(n), counts, least), "name"), ["same", "gram", "nth"])
-    ratio = least / (2 - least)
-    near = near.where((F.length("query_key") - 1 >= (F.length("name_key") - 1) * ratio - 1e-9) & (F.length("name_key") - 1 >= (F.length("query_key") - 1) * ratio - 1e-9))
-    equal = named(q, "query").join(named(n, "name"), F.col("query_key") == F.col("name_key"))
-    pairs = near.select("query_id", "query_key", "name_id", "name_key").union(equal.select("query_id", "query_key", "name_id", "name_key")).distinct()
-    if condition is not None:
-        pairs = pairs.where(condition)
-    scored = pairs.withColumn("score", F.when(F.col("query_key") == F.col("name_key"), F.lit(1.0)).otherwise(dice_of_grams(bigrams(F.col("query_key")), bigrams(F.col("name_key")))))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "name_id")
-    return scored.where(F.col("score") >= least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "name_id", "score", "rank")
+    q = queries.select("query_id", "query_key").where(worth_querying(F.col("query_key")) & F.col("query_id").isNotNull()).distinct()
+    n = names.select("name_id", "name_key").where((F.length("name_key") >= 2) & F.col("name_id").isNotNull()).distinct()
+    near = similar_keys(q, n, least)
+    if condition is None:
+        n = n.withColumn("_nth", F.row_number().over(Window.partitionBy("name_key").orderBy("name_id"))).where(F.col("_nth") <= top).drop("_nth")
+        subject = "query_key"
+        scored = near.join(n, "name_key")
+    else:
+        subject = "query_id"
+        scored = near.join(n, "name_key").join(q, "query_key").where(condition)
+    best = scored.groupBy(subject, "name_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy(subject).orderBy(F.desc("score"), "name_id")
+    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return (ranked if condition is not None else q.join(ranked, "query_key")).select("query_id", "name_id", "score", "rank")
 
 
 def band_join(left: DataFrame, right: DataFrame, a: str, b: str, slack: int) -> DataFrame:

@@ -1,6 +1,6 @@
 """Rules over facts, as trees of groups and clauses that become one Column.
 
-Rules are built from Python values (no text syntax): ``All(...)``, ``AnyOf(...)``, ``NoneOf(...)``
+Rules are built from Python values (``rule_text`` reads saved ones from text): ``All(...)``, ``AnyOf(...)``, ``NoneOf(...)``
 hold clauses and further groups. The law of missing values: where a row has no value, only
 ``!=`` holds. An array column holds several values; a clause holds if any of them satisfies it, and
 ``!=`` if none equals. Text compares with the case of A-Z ignored. All groups of nothing hold but
@@ -9,7 +9,7 @@ hold clauses and further groups. The law of missing values: where a row has no v
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
 
@@ -28,11 +28,12 @@ class Clause:
     column: str
     op: str
     values: tuple
+    raw: str | None = field(default=None, compare=False)  # as it was written
 
-    def __init__(self, column: str, op: str, *values):
+    def __init__(self, column: str, op: str, *values, raw: str | None = None):
         if op not in OPS or not values or (op in ("<", "<=", ">", ">=") and len(values) > 1):
             raise ValueError(f"not a clause: {column} {op} {values}")
-        for k, v in (("column", column), ("op", op), ("values", tuple(values))):
+        for k, v in (("column", column), ("op", op), ("values", tuple(values)), ("raw", raw)):
             object.__setattr__(self, k, v)
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import common_prefix
+from .order import numbered
 
 GOLDEN = 0.6180339887499  # fixed value of the stride's rule
 
@@ -32,7 +33,7 @@ def spread_sample(items: DataFrame, key: list[str], order: list[Column], want: i
     """``want`` items of each group, spread over its order by a stride near the golden section; the next seed gives others.
 
     The stride has no divisor in common with the group's size, so no item comes twice. Sizes are
-    counted by an aggregate, and places wanted join the numbered rows; a group of ``want`` items or
+    counted by an aggregate, and places wanted join the numbered rows, which a group of any size deals to many tasks; a group of ``want`` items or
     fewer is taken whole. A null key is a group like any other.
     """
     n = F.col("_n")
@@ -43,7 +44,7 @@ def spread_sample(items: DataFrame, key: list[str], order: list[Column], want: i
     sizes = items.groupBy(*key).agg(F.count("*").alias("_n"))
     place = F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(want), n) - 1), lambda i: (seed + i * stride) % n))
     wanted = sizes.select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(key)], place.alias("_at"))
-    placed = items.withColumn("_i", (F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1).cast("long"))
+    placed = numbered(items, key, order, "_i")
     on = [F.col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(key)] + [F.col("_i") == F.col("_at")]
     return placed.join(wanted, on, "left_semi").drop("_i")
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import root_of
+from .order import running
 
 
 def under(key: Column, prefix: str) -> Column:
@@ -89,9 +90,8 @@ def covered(subjects: DataFrame, values: DataFrame, key: str, by: str) -> DataFr
 
 
 def within_budget(batches: DataFrame, order: list[Column], cost: str, cap: int) -> DataFrame:
-    """Batches in order while their running cost stays within a cap (a list of batches, so few rows)."""
-    by = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return batches.withColumn("spent", F.sum(cost).over(by)).where(F.col("spent") <= cap)
+    """Batches in order while their running cost (spent) stays within a cap."""
+    return running(batches, [], order, cost, "spent").where(F.col("spent") <= cap)
 
 
 def renamed(members: DataFrame, name: str, item: str, old: str, new: str) -> DataFrame:

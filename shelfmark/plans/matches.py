@@ -72,26 +72,33 @@ def count_distinct_case(t):
 _GRAMS = "CASE WHEN length({0}) = 1 THEN [{0}] ELSE list_transform(generate_series(1, length({0}) - 1), lambda i: substring({0}, i::INT, 2)) END"
 
 
-_SCORED = f"""p AS (SELECT x.id AS query_id, y.id AS name_id, CASE WHEN x.k = y.k THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * list_sum(list_transform(list_distinct(x.g), lambda v: least(len(list_filter(x.g, lambda w: w = v)), len(list_filter(y.g, lambda w: w = v))))) / (len(x.g) + len(y.g)) END AS score
-FROM q x JOIN n y ON x.a = y.a), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name_id) AS rank FROM p WHERE score >= 0.85) SELECT query_id, name_id, score, rank::INT AS rank FROM r WHERE rank <= 3"""
+_SCORED = f"""p AS (SELECT x.id AS query_id, y.id AS name_id, max(CASE WHEN x.k = y.k THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * list_sum(list_transform(list_distinct(x.g), lambda v: least(len(list_filter(x.g, lambda w: w = v)), len(list_filter(y.g, lambda w: w = v))))) / (len(x.g) + len(y.g)) END) AS score
+FROM q x JOIN n y ON x.a = y.a WHERE (length(regexp_replace(x.k, '[^A-Za-z]', '', 'g')) >= 4 OR length(regexp_replace(x.k, '[^\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}]', '', 'g')) >= 2) AND length(y.k) >= 2 GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name_id) AS rank FROM p WHERE score >= 0.85) SELECT query_id, name_id, score, rank::INT AS rank FROM r WHERE rank <= 3"""
 
 
 def _sql_names(rows: str) -> str:
     return f"(SELECT id, k, regexp_replace(k, '[^0-9A-Za-z]', '', 'g') AS a, {_GRAMS.format('k')} AS g FROM (SELECT DISTINCT id, k FROM ({rows}) WHERE k <> ''))"
 
 
-_PART_KEY = "translate(regexp_replace(lower(p_name || p_type), '[^a-z0-9]', '', 'g'), 'aeiou', 'äëïöü')"
+_PLAIN_KEY = "regexp_replace(lower(p_name || p_type), '[^a-z0-9]', '', 'g')"
+_PART_KEY = f"translate({_PLAIN_KEY}, 'aeiou', 'äëïöü')"
 
 
-@query(f"""WITH q AS {_sql_names(f"SELECT 'q' || p_partkey AS id, {_PART_KEY} AS k FROM part")},
-n AS {_sql_names(f"SELECT 'n' || p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN {_PART_KEY} WHEN 1 THEN replace({_PART_KEY}, 'ä', 'á') WHEN 2 THEN regexp_replace({_PART_KEY}, '[öü]', '') ELSE replace({_PART_KEY}, 'ë', '') END AS k FROM part")}, {_SCORED}""")
+@query(f"""WITH q AS {_sql_names(f"SELECT 'q' || p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN {_PLAIN_KEY} WHEN p_partkey % 3 = 1 THEN {_PLAIN_KEY} || 'é' ELSE {_PART_KEY} END AS k FROM part")},
+n AS {_sql_names(f"SELECT 'n' || p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN {_PART_KEY} WHEN 1 THEN replace({_PART_KEY}, 'ä', 'á') WHEN 2 THEN regexp_replace({_PART_KEY}, '[öü]', '') WHEN 3 THEN {_PLAIN_KEY} ELSE replace({_PART_KEY}, 'ë', '') END AS k FROM part UNION ALL SELECT 'n' || p_partkey, {_PLAIN_KEY} || 'à' FROM part WHERE p_partkey % 4 = 0")}, {_SCORED}""")
 def fuzzy_dice_topk(t):
-    """Names of parts with every vowel accented, against spellings that change or lose some."""
+    """Names of parts, some with every vowel accented, against spellings that change, add or lose some; a fourth has two names."""
+    plain = T.name_key(F.lower(F.concat("p_name", "p_type")))
     k = T.name_key(F.translate(F.lower(F.concat("p_name", "p_type")), "aeiou", "äëïöü"))
-    keyed = t.part.select("p_partkey", k.alias("k"))
-    other = F.when(F.col("p_partkey") % 4 == 0, F.col("k")).when(F.col("p_partkey") % 4 == 1, F.replace("k", F.lit("ä"), F.lit("á"))).when(F.col("p_partkey") % 4 == 2, F.expr("regexp_replace(k, '^([^öü]*)[öü]', '$1')")).otherwise(F.replace("k", F.lit("ë"), F.lit("")))
-    queries = keyed.select(F.concat(F.lit("q"), F.col("p_partkey").cast("string")).alias("query_id"), F.col("k").alias("query_key"))
-    return M.fuzzy_lookup(queries, keyed.select(F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("name_id"), other.alias("name_key")))
+    keyed = t.part.select("p_partkey", plain.alias("plain"), k.alias("k"))
+    third, fifth = F.col("p_partkey") % 3, F.col("p_partkey") % 5
+    other = F.when(fifth == 0, F.col("k")).when(fifth == 1, F.replace("k", F.lit("ä"), F.lit("á"))).when(fifth == 2, F.expr("regexp_replace(k, '^([^öü]*)[öü]', '$1')")).when(fifth == 3, F.col("plain")).otherwise(F.replace("k", F.lit("ë"), F.lit("")))
+    asked = F.when(third == 0, F.col("plain")).when(third == 1, F.concat("plain", F.lit("é"))).otherwise(F.col("k"))
+    queries = keyed.select(F.concat(F.lit("q"), F.col("p_partkey").cast("string")).alias("query_id"), asked.alias("query_key"))
+    name_id = F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("name_id")
+    names = keyed.select(name_id, other.alias("name_key")).union(keyed.where(F.col("p_partkey") % 4 == 0).select(name_id, F.concat("plain", F.lit("à"))))
+    return M.fuzzy_lookup(queries, names)
 
 
 _TITLE = "trim(regexp_extract(html, '<title>([^<]*)</title>', 1))"

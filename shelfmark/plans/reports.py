@@ -10,6 +10,7 @@ from ..operators import priority as P
 from ..operators import shape as S
 from ..operators import sync as Y
 from ..operators import triage as Q
+from ..operators.order import numbered
 from .registry import cents, query
 
 
@@ -134,9 +135,8 @@ def shape_volumes(t):
 @query("""SELECT name, row_number() OVER (ORDER BY num, name)::INT AS place FROM (SELECT DISTINCT 'Customer ' || (c_custkey % 300) AS name, c_custkey % 300 AS num FROM customer)""")
 def natural_sort(t):
     names = t.customer.select(F.concat(F.lit("Customer "), (F.col("c_custkey") % 300).cast("string")).alias("name")).distinct()
-    from pyspark.sql import Window
-
-    return names.withColumn("place", F.row_number().over(Window.orderBy(T.natural_key(F.col("name")), "name")))  # 300 names at most
+    placed = numbered(names, [], [T.natural_key(F.col("name")).asc(), F.asc("name")])
+    return placed.withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 @query("""WITH l AS (SELECT 's' || (doc_id % 17) || '/f' || (doc_id % 211) || '.sav' AS key, 's' || (doc_id % 17) AS dir, doc_id % 211 AS stem FROM labels),

@@ -53,6 +53,12 @@ def test_directories_are_spelled_alike(spark):
     assert rows(W.aligned(paths.limit(0), paths.select("path"))) == []
 
 
+def test_recorded_directories_speak_for_their_whole_path(spark):
+    paths = spark.createDataFrame([("a/b/f1",), ("X/b/f2",), ("X/b/C/f3",), ("x/B/c/f4",), ("n/m/f5",), ("N/M/f6",)], "path string")
+    dirs = spark.createDataFrame([("A/b",), ("a/B",), ("x/B",)], "path string")
+    assert {r.path: r.aligned for r in W.aligned(paths, dirs).collect()} == {"a/b/f1": "a/B/f1", "X/b/f2": "x/B/f2", "X/b/C/f3": "x/B/C/f3", "x/B/c/f4": "x/B/C/f4", "n/m/f5": "N/M/f5", "N/M/f6": "N/M/f6"}
+
+
 def test_standalone(spark):
     items = spark.createDataFrame([(k, k == "e") for k in "abcdefg"] + [(None, None)], "key string, named boolean")
     kinds = spark.createDataFrame([("a", "patch"), ("a", "patch"), ("b", "extra"), ("c", "patch"), ("c", "extra"), ("d", "patch"), ("d", None), ("e", None), ("f", "whole"), (None, "patch")], "key string, kind string")

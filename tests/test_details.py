@@ -34,6 +34,15 @@ def test_undo_gives_back_what_was_there(spark):
     assert rows(D.restored(after, stash, exist, "key", 8)) == rows(after)
 
 
+def test_images_hold_any_column(spark):
+    """Columns had, batch, image and key are the rows' own; a batch that was stashed twice is given back once."""
+    before = spark.createDataFrame([(1, 5, 7, "i", "k"), (2, None, None, None, None)], "id int, had int, batch int, image string, key string")
+    stash = D.stashed(before, spark.createDataFrame([(1,), (2,), (None,)], "id int"), "id", 9)
+    after = before.selectExpr("id", "0 as had", "0 as batch", "'x' as image", "'y' as key")
+    exist = before.select("id")
+    assert rows(D.restored(after, stash.union(stash), exist, "id", 9)) == rows(before)
+
+
 def test_redo_only_of_what_was_undone(spark):
     log = spark.createDataFrame([("k", 1), ("k", 2)], "key string, batch int")
     assert rows(D.redone(log, log.where("batch = 1"), 2, 3)) == [("k", 1), ("k", 2)]

@@ -138,45 +138,54 @@ def test_band_join(spark, slack):
     assert sorted((r.i, r.j) for r in matching.band_join(left, right, "x", "y", slack).collect()) == want
 
 
+def brute_fuzzy(queries, names, top, least=0.85):
+    grams = lambda s: [s[k : k + 2] for k in range(len(s) - 1)] or [s]
+    plain = lambda s: "".join(c for c in s if c.isascii() and c.isalnum())
+    score = lambda a, b: 1.0 if a == b else 2 * sum(min(grams(a).count(g), grams(b).count(g)) for g in set(grams(a))) / (len(grams(a)) + len(grams(b)))
+    worth = lambda k: sum("\u3040" <= c <= "\u30ff" or "\u4e00" <= c <= "\u9fff" for c in k) >= 2 or sum(c.isascii() and c.isalpha() for c in k) >= 4
+    want = []
+    for i, q in sorted({(i, q) for i, q in queries if i is not None and q and worth(q)}):
+        best = {}
+        for j, n in names:
+            if j is not None and n and len(n) > 1 and plain(q) == plain(n) and (x := score(q, n)) >= least:
+                best[j] = max(x, best.get(j, 0))
+        want += [(i, j, x, k + 1) for k, (j, x) in enumerate(sorted(best.items(), key=lambda e: (-e[1], e[0]))[:top])]
+    return sorted(want, key=str)
+
+
 def test_fuzzy_lookup_against_brute_force(spark):
     rng = random.Random(3)
     base = ["".join(rng.choice("abc日本語") for _ in range(rng.randrange(1, 12))) for _ in range(60)]
-    keys = list(dict.fromkeys(base + [k[:-1] for k in base if len(k) > 6] + ["", "aa", "aaaa"]))
-    df = spark.createDataFrame([(k,) for k in keys], "k string")
-
-    def grams(s):
-        return [s] if len(s) == 1 else [s[k : k + 2] for k in range(len(s) - 1)]
-
-    def score(a, b):
-        x, y = grams(a), grams(b)
-        return 1.0 if a == b else 2 * sum(min(x.count(g), y.count(g)) for g in set(x)) / (len(x) + len(y))
-
-    plain = lambda s: "".join(c for c in s if c.isascii() and c.isalnum())
-    want = []
-    for q in filter(None, keys):
-        near = sorted(((-score(q, n), n) for n in filter(None, keys) if plain(q) == plain(n) and score(q, n) >= 0.85))[:3]
-        want += [(q, n, -s, k + 1) for k, (s, n) in enumerate(near)]
-    got = matching.fuzzy_lookup(df.select(F.col("k").alias("query_id"), F.col("k").alias("query_key")), df.select(F.col("k").alias("name_id"), F.col("k").alias("name_key")))
-    assert rows(got) == sorted(want, key=str)
+    keys = list(dict.fromkeys(base + [k[:-1] for k in base if len(k) > 6] + ["", "aa", "aaaa", "1", "日"]))
+    queries = [(f"q{k % 50}", x) for k, x in enumerate(keys)] + [(None, keys[1]), ("q1", None)]
+    names = [(f"n{k % 70}", x) for k, x in enumerate(keys)] + [(f"n{k % 9}", x) for k, x in enumerate(keys[:30])] + [(None, keys[1])]
+    q, n = spark.createDataFrame(queries, "query_id string, query_key string"), spark.createDataFrame(names, "name_id string, name_key string")
+    for top in (1, 3, 100):
+        assert rows(matching.fuzzy_lookup(q, n, top=top)) == brute_fuzzy(queries, names, top)
+    some = matching.fuzzy_lookup(q, n, top=100, condition=F.col("name_id") != "n3")
+    assert {tuple(r)[:3] for r in some.collect()} == {x[:3] for x in brute_fuzzy(queries, names, 100) if x[1] != "n3"}
+    assert matching.fuzzy_lookup(q.limit(0), n).count() == 0 == matching.fuzzy_lookup(q, n.limit(0)).count()
+
+
+def test_fuzzy_lookup_of_pure_and_mixed_keys(spark):
+    """A key of ASCII letters finds mixed ones and the other way round; an id with several names has one place."""
+    queries = [("a", "abcdefghijklmnop"), ("b", "abcdefghijklmnopé"), ("c", "nintendogamesx")]
+    names = [("m", "abcdefghijklmnopé"), ("p", "abcdefghijklmnop"), ("z", "abcdefghijklmnopqr"), ("n1", "nintendogamesx"), ("n1", "nintendogamesxé"), ("n2", "nintendogamesxé")]
+    q, n = spark.createDataFrame(queries, "query_id string, query_key string"), spark.createDataFrame(names, "name_id string, name_key string")
+    got = rows(matching.fuzzy_lookup(q, n, top=2))
+    assert got == brute_fuzzy(queries, names, 2)
+    assert [(r[0], r[1]) for r in got] == [("a", "m"), ("a", "p"), ("b", "m"), ("b", "p"), ("c", "n1"), ("c", "n2")]
 
 
 def test_fuzzy_lookup_of_very_common_grams(spark):
-    """Many names that share nearly all their bigrams: every pair that reaches the score is found."""
-    import random
-
-    rng, letters = random.Random(2), "äëïöüßéè"
-    keys = sorted({"".join(rng.choice(letters[:3]) for _ in range(rng.randrange(2, 14))) + rng.choice(["", "1", "x"]) for _ in range(150)})
-    df = spark.createDataFrame([(k,) for k in keys] + [(None,), ("",)], "k string")
-    grams = lambda s: [s[i : i + 2] for i in range(len(s) - 1)] if len(s) > 1 else [s]
-    plain = lambda s: "".join(c for c in s if c.isascii() and c.isalnum())
-    want = set()
-    for q in keys:
-        for n in keys:
-            x, y = grams(q), grams(n)
-            if plain(q) == plain(n) and (q == n or 2 * sum(min(x.count(g), y.count(g)) for g in set(x)) / (len(x) + len(y)) >= 0.85):
-                want.add((q, n))
-    got = matching.fuzzy_lookup(df.select(F.col("k").alias("query_id"), F.col("k").alias("query_key")), df.select(F.col("k").alias("name_id"), F.col("k").alias("name_key")), top=1000)
-    assert {(r.query_id, r.name_id) for r in got.collect()} == want and len(want) > len(keys)
+    """Many names that share nearly all their bigrams, and very many copies of one: every pair that reaches the score is found."""
+    rng, letters = random.Random(2), "日本語文äëï"
+    keys = sorted({"".join(rng.choice(letters[:3]) for _ in range(rng.randrange(2, 14))) + rng.choice(["", "1", "x", "ä"]) for _ in range(150)})
+    names = [(k, k) for k in keys] + [(f"copy{k}", keys[7]) for k in range(500)]
+    q, n = spark.createDataFrame([(k, k) for k in keys], "query_id string, query_key string"), spark.createDataFrame(names, "name_id string, name_key string")
+    got = matching.fuzzy_lookup(q, n, top=1000)
+    want = brute_fuzzy([(k, k) for k in keys], names, 1000)
+    assert {tuple(r)[:2] for r in got.collect()} == {w[:2] for w in want} and len(want) > len(keys)
 
 
 def test_values_of_unknown_time_and_order(spark):
