@@ -25,11 +25,11 @@ def content_hash_join(t):
     return prints.join(first, "sha1").select("doc_id", "first_id", "md5", "sha1")
 
 
-_LAYERS = """c AS (SELECT o_orderkey AS key, CASE WHEN o_orderkey % 11 = 0 THEN 0 WHEN c.c_custkey IS NOT NULL AND c_mktsegment = 'BUILDING' THEN 1 WHEN o_orderpriority = '1-URGENT' THEN 2 END AS r,
+LAYERS = """c AS (SELECT o_orderkey AS key, CASE WHEN o_orderkey % 11 = 0 THEN 0 WHEN c.c_custkey IS NOT NULL AND c_mktsegment = 'BUILDING' THEN 1 WHEN o_orderpriority = '1-URGENT' THEN 2 END AS r,
 CASE WHEN o_orderkey % 11 = 0 THEN 'v' || o_orderkey WHEN c_mktsegment = 'BUILDING' THEN c_name WHEN o_orderpriority = '1-URGENT' THEN o_orderpriority END AS entry FROM orders LEFT JOIN customer c ON o_custkey = c_custkey)"""
 
 
-@query(f"""WITH {_LAYERS} SELECT key, CASE r WHEN 0 THEN 'verdict' WHEN 1 THEN 'hash' WHEN 2 THEN 'name' ELSE 'unmatched' END AS layer, CASE WHEN r IS NOT NULL THEN entry END AS entry FROM c""")
+@query(f"""WITH {LAYERS} SELECT key, CASE r WHEN 0 THEN 'verdict' WHEN 1 THEN 'hash' WHEN 2 THEN 'name' ELSE 'unmatched' END AS layer, CASE WHEN r IS NOT NULL THEN entry END AS entry FROM c""")
 def layered_match_cascade(t):
     orders = t.orders.select(F.col("o_orderkey").alias("key"), "o_custkey", "o_orderpriority")
     verdict = orders.where("key % 11 = 0").select("key", F.concat(F.lit("v"), F.col("key").cast("string")).alias("entry"))
