@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from shelfmark.plans import desired, details, device, filters, matches, ordered, reports, saved_rules, streams, upkeep  # noqa: F401
+from shelfmark.plans import desired, details, device, filters, matches, names, ordered, reports, saved_rules, streams, upkeep  # noqa: F401
 from shelfmark.plans.registry import QUERIES, SQL
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
