@@ -4,9 +4,12 @@ Fingerprints are collapsed to distinct values first. Within 4 differing bits ove
 least two blocks agree wholly, so the join runs over 15 tries, each with one pair of blocks on
 top: there the error budget stays unspent, and each pair of top blocks is a subtrie of its own that
 any task can take. Below, node pairs of a subtrie are traversed together, a pair's differing bits
-add up, and a pair is pruned once they exceed the budget. A subtrie with many leaves is cut into
-chunks and every pair of chunks is traversed on its own (same node pairs, other tasks). A task
-returns a spanning forest of the links it finds, never all of them: their components are the same.
+add up, and a pair is pruned once they exceed the budget. In a subtrie with many leaves the bits below are
+cut into five blocks, of which one agrees wholly in any pair within the budget; so it becomes five
+sets of subtries, each with one more block on top, and its leaves are copied five times however
+many they are. Only where such a subtrie still has many leaves is it cut into chunks, and every pair of
+chunks traversed on its own (same node pairs, other tasks). A task returns a spanning forest of the
+links it finds, never all of them: their components are the same.
 
 Cases: a null text counts as empty; texts without words have fingerprint zero and link like any
 other; repeated rows share a fingerprint; a null doc_id gets a fingerprint, links like any other and
@@ -21,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -131,20 +134,50 @@ def linked(below: np.ndarray, roots: list[tuple[int, int, int, int]], depth: int
             todo.append((d - 1, np.concatenate([x for x, _ in kept]), np.concatenate([e for _, e in kept])))
 
 
+def _cuts(depth: int) -> list[tuple[int, int]]:
+    """(lowest bit, bits) of ``BUDGET`` + 1 blocks of so many bits."""
+    edges = [depth * k // (BUDGET + 1) for k in range(BUDGET + 2)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _depths() -> list[int]:
+    """Bits below the top, of the 15 tries and then of the sets that each is cut into."""
+    plain = [64 - BLOCKS[i] - BLOCKS[j] for i, j, *_ in _layouts()]
+    return plain + [d - n for d in plain for _, n in _cuts(d)]
+
+
+def _deeper() -> Column:
+    """The leaves (trie, top, below) of a large subtrie in each of its sets: one more block on top, the rest below."""
+    out = F.lit(None)
+    for depth in sorted(set(_depths()[: len(_layouts())])):
+        sets = []
+        for k, (low, n) in enumerate(_cuts(depth)):
+            block = F.shiftright("below", low).bitwiseAND((1 << n) - 1)
+            rest = F.shiftleft(F.shiftright("below", low + n), low).bitwiseOR(F.col("below").bitwiseAND((1 << low) - 1))
+            number = F.lit(len(_layouts())) + F.col("trie") * (BUDGET + 1) + k
+            sets.append(F.struct(number.cast("int").alias("trie"), F.shiftleft("top", n).bitwiseOR(block).alias("top"), rest.alias("below")))
+        of_depth = F.col("trie").isin([t for t, d in enumerate(_depths()[: len(_layouts())]) if d == depth])
+        out = F.when(of_depth, F.array(*sets)).otherwise(out)
+    return out
+
+
 def links(reps: DataFrame, budget: int = BUDGET) -> DataFrame:
     """(u, v): links with the components of all links of at most ``budget`` bits between distinct fingerprints.
 
     ``reps`` has (fp, rep), a row for each distinct fingerprint.
     """
     spark = reps.sparkSession
-    rows = tries(reps)
-    hot = rows.groupBy("trie", "top").count().where(F.col("count") > 2 * CHUNK).select("trie", "top", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
+    rows = tries(reps).withColumn("top", F.col("top").cast("long"))
+    many = lambda df, kind: df.groupBy("trie", "top").agg(F.count("*").alias("count")).where(F.col("count") > 2 * CHUNK).select("trie", "top", kind)
+    large = many(rows, F.lit(True).alias("large"))
+    rows = rows.join(large, ["trie", "top"], "left").select("trie", "top", "below", "rep", F.explode(F.when(F.col("large"), _deeper()).otherwise(F.array(F.struct("trie", "top", "below")))).alias("d")).select("d.*", "rep")
+    hot = many(rows.where(F.col("trie") >= len(_layouts())), F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("below"), "chunks").cast("int")
     units = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, chunk).alias("i"), F.greatest(c, chunk).alias("j")))
     rows = rows.join(hot, ["trie", "top"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     rows = rows.withColumn("own", F.when(F.col("chunks") > 1, chunk).otherwise(0)).select("trie", "top", "below", "rep", "own", F.explode(F.when(F.col("chunks") > 1, units).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))).alias("unit"))
     rows = rows.select("trie", "top", "unit.i", "unit.j", "own", "below", "rep").repartition(shuffle_partitions(spark), "trie", "top", "i", "j").sortWithinPartitions("trie", "top", "i", "j", "own", "below")
-    depths = np.array([64 - BLOCKS[i] - BLOCKS[j] for i, j, *_ in _layouts()])
+    depths = np.array(_depths())
 
     def traverse(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         trie, top, i, j, own, below, rep = cols

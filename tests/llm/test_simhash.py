@@ -66,6 +66,32 @@ def test_documents(spark, sf):
     assert result(simhash.op3_simhash(spark, sf)) == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_a_large_subtrie_is_copied_five_times(spark, monkeypatch):
+    """Fingerprints with two blocks in common: copies stay linear in them, and no link is lost."""
+    monkeypatch.setattr(simhash, "CHUNK", 64)
+    rng = np.random.default_rng(4)
+    top = 0x5A5A5A << 42
+    n = 6000
+    fps = np.unique(top & ((1 << 64) - 1) | rng.integers(0, 1 << 42, n, dtype=np.int64).astype(np.uint64))
+    near = fps[:400] ^ np.uint64(0b1001000010001)  # four bits away
+    fps = np.unique(np.concatenate([fps, near]))
+    df = spark.createDataFrame([(int(f.view(np.int64)), i) for i, f in enumerate(fps)], "fp long, rep long")
+    rows = simhash.tries(df)
+    size = rows.groupBy("trie", "top").count().agg({"count": "max"}).first()[0]
+    assert size >= n  # one subtrie holds all
+    assert [sum(b for _, b in simhash._cuts(d)) for d in (42, 43, 44)] == [42, 43, 44]
+    got = {r.node: r.component for r in simhash.components(simhash.links(df)).collect()}
+    x = fps.astype(np.uint64)
+    label = np.arange(len(x))
+    for i in range(len(x)):
+        close = np.flatnonzero(np.bitwise_count(x ^ x[i]) <= 4)
+        low = label[close].min()
+        for other in set(label[close].tolist()):
+            label[label == other] = low
+    want = {i: int(c) for i, c in enumerate(label) if (label == c).sum() > 1}
+    assert got == want and len(want) >= 700
+
+
 def test_hot_subtries_are_cut_into_chunks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CHUNK", 16)
     monkeypatch.setattr(simhash, "FRONTIER", 64)
