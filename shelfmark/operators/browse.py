@@ -2,11 +2,14 @@
 
 A page is one plan: groups by key, then sort and limit, which Spark runs as a top-k without a full
 sort. Keys carry a total order, so pages never overlap.
+
+Unless a function says otherwise: a null key is a group like any other, repeated rows count as often as they come,
+an empty table gives an empty result. Names with an underscore in front are taken.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower
@@ -76,3 +79,25 @@ def search(names: DataFrame, needle: str, aliases: DataFrame | None = None, desc
     if descriptions is not None:
         hits = hits.union(descriptions.select("key", _hit(F.col("text"), needle, None, DESCRIPTION).alias("rank")))
     return hits.where("rank is not null").groupBy("key").agg(F.min("rank").alias("rank"))
+
+
+def details(subjects: DataFrame, key: str, parts: dict[str, tuple[DataFrame, list[str]]], most: int = 100) -> DataFrame:
+    """The subjects with, for each part, its rows as a list of structs (name) and how many there are (n_name).
+
+    ``parts`` maps a name to (rows, order): rows with the key, their columns of order first. A page's
+    subjects are few, so each part is cut to their rows before anything is grouped; a list holds the
+    first ``most`` rows (Spark cuts groups short before the shuffle), its count all of them. A
+    subject without rows has an empty list; subjects are kept as often as they come, null keys have no rows.
+    """
+    out, wanted = subjects, subjects.select(F.col(key).alias("_key")).where("_key is not null").distinct()
+    for name, (rows, order) in parts.items():
+        others = [c for c in rows.columns if c != key and c not in order]
+        own = rows.select(F.col(key).alias("_key"), F.struct(*order, *others).alias("_row")).join(wanted, "_key", "left_semi")
+        first = own.withColumn("_at", F.row_number().over(Window.partitionBy("_key").orderBy("_row"))).where(F.col("_at") <= most)
+        lists = first.groupBy("_key").agg(F.sort_array(F.collect_list("_row")).alias(name))
+        counts = own.groupBy("_key").agg(F.count("*").alias(f"n_{name}"))
+        both = lists.join(counts, "_key").withColumnRenamed("_key", f"_{name}")
+        empty = F.array().cast(both.schema[name].dataType)
+        out = out.join(both, out[key] == F.col(f"_{name}"), "left").drop(f"_{name}")
+        out = out.withColumns({name: F.coalesce(name, empty), f"n_{name}": F.coalesce(f"n_{name}", F.lit(0))})
+    return out

@@ -1,4 +1,9 @@
-"""Health of a library: counts by many dimensions at once, duplicates, collisions, shares."""
+"""Health of a library: counts by many dimensions at once, duplicates, collisions, shares.
+
+Unless a function says otherwise: nulls of a dimension are a group, null measures add nothing, repeated rows count as
+often as they come, an empty table gives an empty result (totals of nothing are one row), and ties are open
+where an order doesn't tell rows apart. Names with an underscore in front are taken.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,9 @@
-"""Values from many sources: which one is shown, by declared priorities."""
+"""Values from many sources: which one is shown, by declared priorities.
+
+Unless a function says otherwise: sources that aren't listed come last, a null value is a value and a null key a
+key like any other, of equal ranks the least by the order given wins, an empty table gives an empty result. Names with an
+underscore in front are taken.
+"""
 
 from __future__ import annotations
 

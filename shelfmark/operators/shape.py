@@ -1,4 +1,9 @@
-"""From files to items: stems, disc families, volumes, trees, stray companions."""
+"""From files to items: stems, disc families, volumes, trees, stray companions.
+
+Unless a function says otherwise: a null key has no directory, stem or mark and joins nothing, repeated keys count as often
+as they come, an empty table gives an empty result, members of an item come in one row, as many as it has files.
+Names with an underscore in front are taken.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Differences between what is wanted, what was written and what is there."""
+"""Differences between what is wanted, what was written and what is there.
+
+Unless a function says otherwise: paths are unique on each side, a null path matches nothing, null values are equal
+to each other but an unknown time is never the same, and an empty side is a side without files. Names with an underscore in front are taken.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Upkeep and reporting over catalogue tables: roots, what is missing, what is shared, what a change would take."""
+"""Upkeep and reporting over catalogue tables: roots, what is missing, what is shared, what a change would take.
+
+Unless a function says otherwise: a null key belongs to nothing and joins nothing, repeated rows count as often as they come,
+an empty table gives an empty result, other columns are left out. Names with an underscore in front are taken.
+"""
 
 from __future__ import annotations
 

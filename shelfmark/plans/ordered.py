@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import browse as B
+from ..operators import converge as C
 from ..operators import order as O
 from ..operators import registry as R
 from .registry import query
@@ -63,3 +65,26 @@ def fetch_plan(t):
     sources = t.region.select(F.when(F.col("r_regionkey") % 2 == 0, "a").otherwise("b").alias("source"), F.lit(False).alias("bundle"), F.lit("as is").alias("convention"))
     plan = R.fetch_plan(offers, known, sources, mappings, refused=F.col("url").startswith("u5/"))
     return plan.select(F.split("url", "/")[1].cast("long").alias("p_partkey"), "action", "platform", "convention")
+
+
+@query("""SELECT p_brand AS g0, row_number() OVER w - 1 AS place, p_partkey AS key, count(*) OVER (PARTITION BY p_brand) AS n
+FROM (SELECT *, CASE WHEN p_size > 45 THEN 0 WHEN ends_with(p_name, 'ring') THEN 1 ELSE 2 END AS p FROM part) WINDOW w AS (PARTITION BY p_brand ORDER BY p, p_partkey)""")
+def entry_members(t):
+    rank = C.preference([F.col("p_size") > 45, F.col("p_name").endswith("ring")])
+    return C.members(t.part, [F.col("p_brand")], rank, "p_partkey")
+
+
+@query("""WITH c AS (SELECT c_custkey, c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 40),
+o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS pos FROM orders),
+x AS (SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY pos) FILTER (pos <= 5) AS first, count(*) AS n FROM o GROUP BY 1),
+l AS (SELECT o_custkey, count(*) AS n, sum(l_quantity::INT) FILTER (pos <= 5) AS q FROM (SELECT o_custkey, l_quantity, row_number() OVER (PARTITION BY o_custkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_quantity) AS pos FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY 1)
+SELECT c_custkey, c_name, coalesce(first, '') AS orders, coalesce(x.n, 0) AS n_orders, coalesce(l.n, 0) AS n_lines, coalesce(q, 0)::BIGINT AS quantity FROM c LEFT JOIN x ON x.o_custkey = c_custkey LEFT JOIN l ON l.o_custkey = c_custkey""")
+def work_details(t):
+    """A page of customers with their first orders and lines, and how many of each there are."""
+    page = B.page(t.customer.select("c_custkey", "c_name", "c_acctbal"), [F.desc("c_acctbal"), F.asc("c_custkey")], 0, 40).drop("c_acctbal")
+    orders = t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderdate", "o_orderkey")
+    lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("c_custkey"), "l_shipdate", "l_orderkey", "l_linenumber", "l_quantity")
+    out = B.details(page, "c_custkey", {"orders": (orders, ["o_orderdate", "o_orderkey"]), "lines": (lines, ["l_shipdate", "l_orderkey", "l_linenumber"])}, most=5)
+    keys = F.array_join(F.transform("orders", lambda x: x["o_orderkey"].cast("string")), ",")
+    quantity = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["l_quantity"].cast("int"))
+    return out.select("c_custkey", "c_name", keys.alias("orders"), "n_orders", "n_lines", quantity.alias("quantity"))
