@@ -216,3 +216,27 @@ def next_stage(stages: DataFrame) -> DataFrame:
     b = stages.select(F.col("stage").alias("_b"), F.col("left").alias("_l"))
     both = stages.where("left > 0").join(b, F.col("before") == F.col("_b"), "left")
     return both.select("place", "stage", F.when(F.col("_l") > 0, F.col("_b")).alias("waiting_on"))
+
+
+def merge_plan(variants: DataFrame, identified: DataFrame, verdicts: DataFrame, prints: DataFrame, moving: DataFrame, into: str, facts: list[str]) -> DataFrame:
+    """(key, state, anchor, work, .. facts, from_work, replaces): the verdicts that move variants under another work, and what can't be moved.
+
+    ``variants`` (key, work), ``identified`` (key, .. facts), ``verdicts`` (anchor, decision, .. facts),
+    ``prints`` (key, print), ``moving`` (key). A variant's anchor is its print, or its key where there is none.
+    Only the work changes: the other facts are those of a verdict of kind ``release`` on the anchor,
+    else what was identified, else null. State is ``moved``; ``held`` where the work is that one already;
+    ``unknown`` where there is no such variant (these two have no verdict). ``replaces`` tells whether the
+    anchor has a verdict. Keys to move count once; of several rows of one key or anchor the least counts.
+    """
+    least = lambda t, key, columns, name: t.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"_{name}")).agg(F.min(F.struct(*columns)).alias(name))
+    keys = moving.select(F.col("key").alias("key")).where("key is not null").distinct()
+    own = variants.where("key is not null").groupBy(F.col("key").alias("_v")).agg(F.min("work").alias("_work"))
+    both = keys.join(own, F.col("key") == F.col("_v"), "left").join(least(prints, "key", ["print"], "p"), F.col("key") == F.col("_p"), "left")
+    both = both.withColumn("anchor", F.coalesce("p.print", "key"))
+    both = both.join(least(identified, "key", facts, "i"), F.col("key") == F.col("_i"), "left").join(least(verdicts, "anchor", ["decision", *facts], "d"), F.col("anchor") == F.col("_d"), "left")
+    state = F.when(F.col("_v").isNull(), "unknown").when(F.col("_work").eqNullSafe(F.lit(into)), "held").otherwise("moved")
+    moved = F.col("state") == "moved"
+    said = F.col("d.decision") == "release"
+    shown = [F.when(moved, F.when(said, F.col("d").getField(f)).otherwise(F.col("i").getField(f))).alias(f) for f in facts]
+    out = both.withColumn("state", state)
+    return out.select("key", "state", F.when(moved, F.col("anchor")).alias("anchor"), F.when(moved, F.lit(into)).alias("work"), *shown, F.when(moved, F.col("_work")).alias("from_work"), F.when(moved, F.col("_d").isNotNull()).alias("replaces"))

@@ -160,3 +160,20 @@ def scope_totals(t):
 def next_stages(t):
     rows = U.stages([("label", U.not_run(t.documents.select("doc_id"), t.labels, "doc_id")), ("ship", t.orders.where("o_orderstatus = 'P'")), ("close", t.orders.where("o_orderkey < 0"))])
     return D.next_stage(rows.withColumn("before", F.when(F.col("stage") == "ship", "label").when(F.col("stage") == "close", "ship")))
+
+
+@query("""WITH m AS (SELECT p_partkey AS key, p_brand AS work, p_type AS kind, p_size AS size, CASE WHEN p_partkey % 3 = 0 THEN 'print' || p_partkey END AS print FROM part WHERE p_partkey % 10 <> 7),
+v AS (SELECT 'print' || p_partkey AS anchor, 'said ' || p_size AS kind FROM part WHERE p_partkey % 6 = 0)
+SELECT a.p_partkey AS key, CASE WHEN m.key IS NULL THEN 'unknown' WHEN work = 'Brand#5' THEN 'held' ELSE 'moved' END AS state, CASE WHEN work <> 'Brand#5' THEN coalesce(print, m.key::VARCHAR) END AS anchor,
+CASE WHEN work <> 'Brand#5' THEN coalesce(v.kind, m.kind) END AS kind, CASE WHEN work <> 'Brand#5' THEN work END AS from_work, CASE WHEN work <> 'Brand#5' THEN v.anchor IS NOT NULL END AS replaces
+FROM part a LEFT JOIN m ON m.key = a.p_partkey LEFT JOIN v ON v.anchor = m.print WHERE a.p_size < 30""")
+def merge_plan(t):
+    key = F.col("p_partkey").cast("string")
+    print_ = F.concat(F.lit("print"), key)
+    some = t.part.where("p_partkey % 10 <> 7")
+    variants = some.select(key.alias("key"), F.col("p_brand").alias("work"))
+    identified = some.select(key.alias("key"), F.col("p_type").alias("kind"))
+    verdicts = t.part.where("p_partkey % 6 = 0").select(print_.alias("anchor"), F.lit("release").alias("decision"), F.concat(F.lit("said "), F.col("p_size").cast("string")).alias("kind"))
+    prints = some.where("p_partkey % 3 = 0").select(key.alias("key"), print_.alias("print"))
+    plan = D.merge_plan(variants, identified, verdicts, prints, t.part.where("p_size < 30").select(key.alias("key")), "Brand#5", ["kind"])
+    return plan.select(F.col("key").cast("long").alias("key"), "state", "anchor", "kind", "from_work", "replaces")

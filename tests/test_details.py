@@ -84,3 +84,21 @@ def test_findings_of_an_empty_table(spark):
     df = spark.createDataFrame([(1, True), (2, None)], "id int, odd boolean")
     assert rows(D.findings(df, {"odd": F.col("odd")}, [F.col("id")], 3, ["id"])) == [("odd", 1, 1, 1)]
     assert rows(D.findings(df.limit(0), {"odd": F.col("odd")}, [F.col("id")], 3, ["id"])) == []
+
+
+def test_merge_plan(spark):
+    frame = spark.createDataFrame
+    variants = frame([("a", "Old"), ("b", "New"), ("c", None), ("d", "Old"), ("e", "Other")], "key string, work string")
+    identified = frame([("a", "JP", "s1"), ("c", "EU", None), ("d", "US", "s4")], "key string, region string, serial string")
+    verdicts = frame([("pa", "release", "said", "sv"), ("d", "not a game", "x", "y"), (None, "release", "n", "n")], "anchor string, decision string, region string, serial string")
+    prints = frame([("a", "pa"), ("b", "pb"), ("c", None), (None, "pn")], "key string, print string")
+    moving = frame([("a",), ("a",), ("b",), ("c",), ("d",), ("e",), ("gone",), (None,)], "key string")
+    got = rows(D.merge_plan(variants, identified, verdicts, prints, moving, "New", ["region", "serial"]))
+    assert got == sorted(
+        [
+            ("a", "moved", "pa", "New", "said", "sv", "Old", True), ("b", "held", None, None, None, None, None, None), ("c", "moved", "c", "New", "EU", None, None, False),
+            ("d", "moved", "d", "New", "US", "s4", "Old", True), ("e", "moved", "e", "New", None, None, "Other", False), ("gone", "unknown", None, None, None, None, None, None),
+        ],
+        key=str,
+    )
+    assert D.merge_plan(variants, identified, verdicts, prints, moving.limit(0), "New", ["region"]).count() == 0
