@@ -264,6 +264,47 @@ def boot_serial(cnf: Column) -> Column:
     return F.nullif(F.upper(F.regexp_extract(text, r"(?im)^\s*BOOT2?\s*=\s*cdrom0?:\\*(?:[^\s;\\]*\\)*([a-z]{4}[_-][0-9]{3}\.?[0-9]{2})", 1)), F.lit(""))
 
 
+# packed file systems and frames ------------------------------------------------------------------
+
+
+def package_entries(paths: DataFrame) -> DataFrame:
+    """(path, ordinal, inner, at, size, error): files of PFS0 packages (path), from their head alone."""
+
+    def step(path: str, at: int, data: bytes, size: int):
+        if data[:4] != b"PFS0":
+            raise ValueError("no PFS0 package")
+        n, names = struct.unpack_from("<II", data, 4)
+        begin = 16 + 24 * n
+        if len(data) < min(size, begin + names):
+            raise ValueError("the head of a package is larger than was read")
+        for k in range(n):
+            place, length, name = struct.unpack_from("<QQI", data, 16 + 24 * k)
+            raw = data[begin + name : data.find(b"\0", begin + name)]
+            yield k, raw.decode("utf-8", "replace"), begin + names + place, length
+
+    heads = fetched(paths.select("path", F.lit(0).alias("at"), F.lit(1 << 18).alias("length")))
+    return _each(heads, "path string, ordinal int, inner string, at long, size long, error string", step)
+
+
+def frame_sizes(paths: DataFrame) -> DataFrame:
+    """(path, content, checksum, error): the size that the first frame of a zstd file states, null where it states none."""
+
+    def step(path: str, at: int, data: bytes, size: int):
+        if data[:4] != b"\x28\xb5\x2f\xfd":
+            raise ValueError("no zstd frame")
+        told = data[4]
+        single = told >> 5 & 1
+        k = 5 + (1 - single) + (0, 1, 2, 4)[told & 3]
+        width = (single, 2, 4, 8)[told >> 6]
+        if len(data) < k + width:
+            raise ValueError("a zstd frame is cut off")
+        content = int.from_bytes(data[k : k + width], "little") + 256 * (width == 2)
+        yield content if width else None, bool(told & 4)
+
+    heads = fetched(paths.select("path", F.lit(0).alias("at"), F.lit(18).alias("length")))
+    return _each(heads, "path string, content long, checksum boolean, error string", step)
+
+
 # key tables --------------------------------------------------------------------------------------
 
 

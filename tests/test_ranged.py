@@ -153,3 +153,56 @@ def test_files_on_discs(spark, tmp_path):
     odd = spark.createDataFrame([("a", b"\0PSF" + struct.pack("<IIII", 0, 20, 20, 2**31)), ("b", b"no"), ("c", None)], "path string, data binary")
     assert {(r.path, r.error) for r in R.sfo_values(odd).collect()} == {("b", "no key table"), ("c", "no key table")}
     assert R.zip_entries(all_.limit(0)).count() == 0 == R.disc_files(all_.limit(0), "x").count()
+
+
+def test_packages_and_frames(spark, tmp_path):
+    import zstandard
+
+    nsp, bad, one, two, cut = (tmp_path / n for n in ("a.nsp", "b.nsp", "one.zst", "two.zst", "cut.zst"))
+    names = [b"0100.nca", b"0100.tik"]
+    table = b"".join(n + b"\0" for n in names).ljust(32, b"\0")
+    nsp.write_bytes(b"PFS0" + struct.pack("<III", 2, len(table), 0) + struct.pack("<QQII", 0, 5 << 30, 0, 0) + struct.pack("<QQII", 5 << 30, 704, 9, 0) + table)
+    bad.write_bytes(b"XFS0" + bytes(60))
+    got = {(r.path.rsplit("/", 1)[1], r.ordinal, r.inner, r.at, r.size) for r in R.package_entries(paths(spark, nsp, bad)).where("error is null").collect()}
+    assert got == {("a.nsp", 0, "0100.nca", 96, 5 << 30), ("a.nsp", 1, "0100.tik", 96 + (5 << 30), 704)}
+    sizes = [0, 5, 255, 256, 300, 70_000]
+    for k, n in enumerate(sizes):
+        (tmp_path / f"s{k}.zst").write_bytes(zstandard.ZstdCompressor(write_checksum=k % 2 == 1).compress(b"x" * n))
+    one.write_bytes(zstandard.ZstdCompressor(write_content_size=False).compress(b"y" * 999))
+    two.write_bytes(b"nothing at all")
+    cut.write_bytes(b"\x28\xb5\x2f\xfd\xe0")
+    rows = R.frame_sizes(paths(spark, *[tmp_path / f"s{k}.zst" for k in range(len(sizes))], one, two, cut)).collect()
+    told = {r.path.rsplit("/", 1)[1]: (r.content, r.checksum, r.error) for r in rows}
+    assert [told[f"s{k}.zst"] for k in range(len(sizes))] == [(n, k % 2 == 1, None) for k, n in enumerate(sizes)]
+    assert told["one.zst"][0] is None and told["two.zst"][2] == "no zstd frame" and told["cut.zst"][2] == "a zstd frame is cut off"
+
+
+def test_headers(spark):
+    from pyspark.sql import functions as F
+
+    from shelfmark.sources import headers as H
+
+    def made(size=0x200, **at):
+        out = bytearray(size)
+        for place, raw in at.items():
+            k = int(place[1:], 16)
+            out[k : k + len(raw)] = raw
+        return bytes(out)
+
+    n64 = made(x0=bytes.fromhex("80371240"), x20=b"SUPER GAME 64       ", x3b=b"NSME")
+    two = b"".join(n64[k : k + 2][::-1] for k in range(0, len(n64), 2))
+    four = b"".join(n64[k : k + 4][::-1] for k in range(0, len(n64), 4))
+    gb = lambda flag: made(x104=bytes.fromhex("CEED6666CC0D000B"), x134=b"TETRIS\0junk", x143=flag)
+    data = {
+        "gba": (made(x4=bytes.fromhex("24FFAE51699AA221"), xa0=b"ADVANCE GAME", xac=b"AXVE", xb0=b"01"), ("GBA", "ADVANCE GAME", "AXVE", "01", None)), "nds": (made(x0=b"DUAL\0", xc=b"ADAE", x10=b"01", x15c=b"\x56\xcf"), ("NDS", "DUAL", "ADAE", "01", None)),
+        "gb": (gb(b"\0"), ("GB", "TETRIS", None, None, "no")), "gbc": (gb(b"\xc0"), ("GB", "TETRIS", None, None, "only")), "both": (gb(b"\x80"), ("GB", "TETRIS", None, None, "too")),
+        "md": (made(x100=b"SEGA MEGA DRIVE (C)T-81 1992", x120=b"SOME  TITLE", x180=b"GM T-81033 -00"), ("MD", "SOME  TITLE", "GM T-81033 -00", "T-81", None)),
+        "n64": (n64, ("N64", "SUPER GAME 64", "NSME", None, None)), "v64": (two, ("N64", "SUPER GAME 64", "NSME", None, None)), "swapped": (four, ("N64", "SUPER GAME 64", "NSME", None, None)),
+        "nes": (b"NES\x1a" + bytes(12), ("NES", None, None, None, None)), "none": (b"plain text", None), "empty": (b"", None), "null": (None, None),
+    }
+    df = spark.createDataFrame([(k, v[0]) for k, v in data.items()], "name string, data binary")
+    out = df.select("name", H.header_fields(F.col("data")).alias("h"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.name: None if r.h is None else tuple(r.h) for r in out.collect()}
+    for k, (_, want) in data.items():
+        assert got[k] == want, (k, got[k])
