@@ -43,7 +43,7 @@ from .units import WS, blocks
 BLANK = "▁"
 SEGMENT = re.compile(f"[{WS}]*[^{WS}]+|[{WS}]+")
 _IS_WS = re.compile(f"[{WS}]").fullmatch
-CHUNK_CHARS, CHUNK_SEGMENTS = 1 << 24, 1 << 18  # a chunk ends with the document that reaches either
+CHUNK_CHARS, CHUNK_SEGMENTS = 1 << 24, 3 << 16  # a chunk ends with the document that reaches either
 BATCH_PLACES = 1 << 18  # segments of the documents of one row
 BUCKETS = 16  # of segments, for each shuffle partition
 LARGE_GROUP = 1 << 12  # links of a group that are counted by id rather than one by one
@@ -266,6 +266,7 @@ def _words(replies: list[bytes]) -> _Words:
     joined = [np.concatenate([*x, np.zeros(0, np.int64)]) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 6
     rows = np.concatenate([*(np.cumsum(p[0]) for p in parts), np.zeros(0, np.int64)])
     _, n, many_a, many_b, ids_a, ids_b = joined
+    del parts, joined
     order = np.argsort(rows, kind="stable")
     groups, a, b = _starts(n), _starts(many_a), _starts(many_b)
     n, g = _gathered(groups, order)
