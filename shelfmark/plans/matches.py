@@ -72,11 +72,18 @@ def count_distinct_case(t):
 _GRAMS = "CASE WHEN length({0}) = 1 THEN [{0}] ELSE list_transform(generate_series(1, length({0}) - 1), lambda i: substring({0}, i::INT, 2)) END"
 
 
-_SCORED = f"""p AS (SELECT x.id AS query_id, y.id AS name_id, max(CASE WHEN x.k = y.k THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * list_sum(list_transform(list_distinct(x.g), lambda v: least(len(list_filter(x.g, lambda w: w = v)), len(list_filter(y.g, lambda w: w = v))))) / (len(x.g) + len(y.g)) END) AS score
-FROM q x JOIN n y ON x.a = y.a WHERE (length(regexp_replace(x.k, '[^A-Za-z]', '', 'g')) >= 4 OR length(regexp_replace(x.k, '[^\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}]', '', 'g')) >= 2) AND length(y.k) >= 2 GROUP BY 1, 2),
+_WORTH = """ WHERE (length(regexp_replace(x.k, '[^A-Za-z]', '', 'g')) >= 4 OR length(regexp_replace(x.k, '[^\\p{Han}\\p{Hiragana}\\p{Katakana}]', '', 'g')) >= 2) AND length(y.k) >= 2"""
+
+
+def _scored(worth: str) -> str:
+    return f"""p AS (SELECT x.id AS query_id, y.id AS name_id, max(CASE WHEN x.k = y.k THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * list_sum(list_transform(list_distinct(x.g), lambda v: least(len(list_filter(x.g, lambda w: w = v)), len(list_filter(y.g, lambda w: w = v))))) / (len(x.g) + len(y.g)) END) AS score
+FROM q x JOIN n y ON x.a = y.a{worth} GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name_id) AS rank FROM p WHERE score >= 0.85) SELECT query_id, name_id, score, rank::INT AS rank FROM r WHERE rank <= 3"""
 
 
+_SCORED = _scored(_WORTH)
+
+
 def _sql_names(rows: str) -> str:
     return f"(SELECT id, k, regexp_replace(k, '[^0-9A-Za-z]', '', 'g') AS a, {_GRAMS.format('k')} AS g FROM (SELECT DISTINCT id, k FROM ({rows}) WHERE k <> ''))"
 
@@ -104,11 +111,17 @@ def fuzzy_dice_topk(t):
 _TITLE = "trim(regexp_extract(html, '<title>([^<]*)</title>', 1))"
 
 
-@query(f"""WITH q AS {_sql_names(f"SELECT page_id AS id, regexp_replace(lower({_TITLE}), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS k FROM pages")}, n AS (SELECT * FROM q), {_SCORED}""")
+_TITLES = f"""SELECT 'p' || page_id AS id, regexp_replace(lower(nfc_normalize({_TITLE})), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS k FROM pages
+UNION ALL SELECT 'd' || doc_id, regexp_replace(lower(nfc_normalize(text)), '[^\\p{{L}}\\p{{N}}]', '', 'g') FROM documents"""
+
+
+@query(f"""WITH q AS {_sql_names(_TITLES)}, n AS (SELECT * FROM q), {_scored("")}""")
 def fuzzy_titles(t):
-    """Titles of pages against each other."""
-    keys = t.pages.select("page_id", T.name_key(F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1))).alias("k"))
-    return M.fuzzy_lookup(keys.select(F.col("page_id").alias("query_id"), F.col("k").alias("query_key")), keys.select(F.col("page_id").alias("name_id"), F.col("k").alias("name_key")))
+    """Titles of pages and whole texts of documents, in every language, against each other."""
+    told = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string")).alias("id")
+    titles = t.pages.select(told("p", "page_id"), F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
+    keys = titles.union(t.documents.select(told("d", "doc_id"), "text")).select("id", T.name_key(F.col("title")).alias("k"))
+    return M.fuzzy_lookup(keys.select(F.col("id").alias("query_id"), F.col("k").alias("query_key")), keys.select(F.col("id").alias("name_id"), F.col("k").alias("name_key")), gated=False)
 
 
 @query("""SELECT a.s_suppkey AS supplier, b.c_custkey AS customer FROM (SELECT s_suppkey, floor(s_acctbal)::BIGINT AS x FROM supplier) a
