@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 
+BLOCK_SEATS = 512
+
 
 def _dealt(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """The rows with _part (their task), _group and _at (their number within the task), in order; written, so that ranges stay as they are."""
@@ -67,16 +69,24 @@ def around(rows: DataFrame, folder: str, name: str, k: int, of: DataFrame | None
     """(folder, name, neighbour, seat): up to ``k`` names beside each name of a folder in its order, not itself.
 
     They begin half of k seats before it; a name near the beginning has more after it, one near the end
-    has fewer. ``of`` (folder, name) limits the names that are asked for. Neighbours are found by an
-    equi join on seats, so a folder of any size spreads over all tasks. Repeated rows of one name
+    has fewer. ``of`` (folder, name) limits the names that are asked for. A folder's seats are dealt in
+    blocks, with those just beyond their borders, so a folder of any size spreads over all tasks and a name moves
+    once or twice, not once a neighbour. Repeated rows of one name
     have one seat; null names have none, and names without a folder have no neighbours.
     """
-    one = rows.select(F.col(folder).alias("folder"), F.col(name).alias("name")).where("folder is not null and name is not null").distinct()
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that tasks are not made one for being small when compressed
+    one = rows.select(F.col(folder).alias("folder"), F.col(name).alias("name")).where("folder is not null and name is not null").repartition(n, "folder", "name").distinct()
     seated = written(numbered(one, ["folder"], [F.asc("name")], "at"), "seats")
-    asked = seated if of is None else seated.join(of.select(F.col(folder).alias("folder"), F.col(name).alias("name")).distinct(), ["folder", "name"], "left_semi")
-    first = F.greatest(F.col("at") - k // 2, F.lit(0))
-    last = first + k - F.when(F.col("at") >= first + k, 1).otherwise(0)  # k others: one seat more if its own lies among them
-    want = asked.select("folder", F.col("name").alias("of_name"), F.col("at").alias("own"), F.explode(F.sequence(first, last)).alias("at")).where("at <> own")
-    there = seated.select(F.col("folder").alias("there"), F.col("name").alias("neighbour"), F.col("at").alias("seat"))
-    met = want.join(there, (F.col("at") == F.col("seat")) & (F.col("folder") == F.col("there")))
-    return met.select(F.col("folder").alias(folder), F.col("of_name").alias(name), "neighbour", "seat")
+    size = max(BLOCK_SEATS, k)
+    blocks = F.array_distinct(F.array(*[F.floor((F.col("at") + x) / size) for x in (-k, 0, k)]))
+    dealt = seated.select("*", F.explode(blocks).alias("block")).where("block >= 0").repartition(n, "folder", "block")
+    seats = dealt.groupBy("folder", "block").agg(F.sort_array(F.collect_list(F.struct("at", "name"))).alias("seats"))  # a block's and k on either side
+    first = lambda at: F.greatest(at - k // 2, F.lit(0))
+    last = lambda at: first(at) + k - F.when(at >= first(at) + k, 1).otherwise(0)  # noqa: E731  k others: one seat more if its own lies among them
+    near = lambda x: F.slice("seats", (first(x["at"]) - F.col("seats")[0]["at"] + 1).cast("int"), F.lit(k + 1))
+    own = F.filter("seats", lambda x: F.floor(x["at"] / size) == F.col("block"))
+    asked = seats.select("folder", F.explode(F.transform(own, lambda x: F.struct(x["name"].alias("name"), x["at"].alias("at"), near(x).alias("near")))).alias("x")).select("folder", "x.*")
+    if of is not None:
+        asked = asked.join(of.select(F.col(folder).alias("folder"), F.col(name).alias("name")).distinct(), ["folder", "name"], "left_semi")
+    beside = F.filter("near", lambda y: (y["at"] <= last(F.col("at"))) & (y["at"] != F.col("at")))
+    return asked.select("folder", "name", F.explode(beside).alias("x")).select(F.col("folder").alias(folder), F.col("name").alias(name), F.col("x.name").alias("neighbour"), F.col("x.at").alias("seat"))

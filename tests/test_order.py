@@ -153,3 +153,22 @@ def test_fetch_plan(spark):
     }
     full = act(full=True)
     assert full["s", "Nintendo"][0] == full["z", "bundle.zip"][0] == "fetch"
+
+
+def test_neighbours_across_blocks(spark, monkeypatch):
+    """Blocks of few seats, none of them a folder's whole; no join by seat, for which every name would move once a neighbour."""
+    import re
+
+    monkeypatch.setattr(order, "BLOCK_SEATS", 4, raising=False)
+    names = {"a": [f"n{k:03}" for k in range(50)], "b": ["x"], "c": ["p", "q", "r"]}
+    df = spark.createDataFrame([(f, n) for f, some in names.items() for n in some], "folder string, name string")
+    for k in (1, 4, 6):
+        got = order.around(df, "folder", "name", k)
+        assert not re.search(r"Join.*seat", got._jdf.queryExecution().executedPlan().toString())
+        want = set()
+        for f, some in names.items():
+            for at, n in enumerate(some):
+                first = max(0, at - k // 2)
+                seats = [i for i in range(first, len(some)) if i != at][:k]
+                want |= {(f, n, some[i], i) for i in seats}
+        assert {tuple(r) for r in got.collect()} == want
